@@ -130,7 +130,7 @@ def members(keys: DataFrame) -> DataFrame:
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre"), F.bit_xor(mark).alias("mark"), F.sum(F.shiftrightunsigned(mark, 8)).alias("mark2")).where("size > 1")
     once = full.groupBy("size", "centre", "mark", "mark2").agg(F.min("key").alias("key"))
     once = materialise(once.select("key", "size", "centre"), "buckets")
-    return materialise(keys.join(once, "key"), "members")
+    return materialise(keys.join(once.hint("merge"), "key"), "members")
 
 
 def _may_link(a: str, b: str):
@@ -179,7 +179,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. A centre with many partners is a join that Spark can split."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_confirmed, "a long, b long").distinct()
 
 
