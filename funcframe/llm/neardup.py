@@ -116,26 +116,29 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, node): the classes in every table, as ``node`` = (doc_id, n); the key tells the table, too."""
+    """(key, id): the classes in every table; the key tells the table, too."""
     pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    return classes.select(F.explode(pairs).alias("key"), F.struct(F.col("rep").alias("id"), "n").alias("node"))
+    return classes.select(F.explode(pairs).alias("key"), F.col("rep").alias("id"))
 
 
-def members(keys: DataFrame) -> DataFrame:
-    """(key, size, centre, node) of the buckets with two classes or more, one bucket for each set of classes.
+def members(classes: DataFrame) -> DataFrame:
+    """(key, centre, centre_n, id, n) of the buckets with two classes or more, one bucket for each set of classes.
 
-    Counts are summed before the shuffle, and the join back can be split where a bucket is large.
+    A bucket is summed up before the shuffle, as its least class and the exclusive or of hashes of all its classes, which
+    also tell it from one with other classes. The join back can be split where a bucket is large.
     """
-    mark = F.xxhash64("node.id")
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre"), F.bit_xor(mark).alias("mark"), F.sum(F.shiftrightunsigned(mark, 8)).alias("mark2")).where("size > 1")
-    once = full.groupBy("size", "centre", "mark", "mark2").agg(F.min("key").alias("key"))
-    once = materialise(once.select("key", "size", "centre"), "buckets")
-    return materialise(keys.join(once.hint("merge"), "key"), "members")
+    keys = table_keys(classes)
+    full = keys.groupBy("key").agg(F.min("id").alias("centre"), F.bit_xor(F.xxhash64("id")).alias("mark")).where(F.col("mark") != F.xxhash64("centre"))
+    once = materialise(full.groupBy("centre", "mark").agg(F.min("key").alias("key")), "buckets")
+    sizes = classes.select(F.col("rep").alias("id"), "n")
+    held = materialise(keys.join(once.select("key", "centre").hint("merge"), "key"), "members")
+    held = held.join(sizes.hint("merge"), "id").select("key", "centre", "id", "n")
+    return materialise(held.join(sizes.select(F.col("id").alias("centre"), F.col("n").alias("centre_n")).hint("merge"), "centre"), "members")
 
 
 def _may_link(a: str, b: str):
     """Sizes that allow the similarity."""
-    return 100 * F.least(f"{a}.n", f"{b}.n") >= PERCENT * F.greatest(f"{a}.n", f"{b}.n")
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
 def _with_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -201,30 +204,29 @@ def components(links: DataFrame) -> DataFrame:
 
 def links(documents: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """Confirmed links (a, b) between classes that join every pair of similar candidates into one component."""
-    held = members(table_keys(classes))
-    sets = full_sets(documents, held.select(F.col("node.id").alias("doc_id")).distinct(), width)
-    pairs = materialise(held.where("centre.id != node.id").where(_may_link("centre", "node")).select(F.col("centre.id").alias("a"), F.col("node.id").alias("b")).distinct(), "pairs")
+    held = members(classes)
+    sets = full_sets(documents, held.select(F.col("id").alias("doc_id")).distinct(), width)
+    pairs = materialise(held.where("centre != id").where(_may_link("centre_n", "n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     tested, found = pairs, materialise(confirm(pairs, sets), "links")
     centres = 4
     while True:
-        root = components(found)
-        marked = held.select("key", "size", "node", F.col("node.id").alias("id")).join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+        marked = held.select("key", "id", "n").join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("key", "size")
         open_ = materialise(open_, "open")
         if not open_.limit(1).count():
             return found
-        marked = materialise(marked.join(open_, "key").select("key", "size", "node", "root", F.xxhash64("id", F.lit(centres)).alias("turn")), "marked")
         # about 4, 16, 64, ... classes of a bucket are its centres in this round; all of them once the bucket has no more
+        marked = materialise(marked.join(open_, "key").select("key", "size", "id", "n", "root"), "marked")
         share = F.least(F.lit(1.0), F.lit(float(centres)) / F.col("size"))
-        is_centre = F.pmod("turn", F.lit(1 << 20)) < share * (1 << 20)
-        c = marked.where(is_centre).select("key", F.col("node").alias("centre"), F.col("root").alias("own"))
-        new = marked.join(c, "key").where((F.col("root") != F.col("own")) & _may_link("centre", "node"))
-        new = new.select(F.least("centre.id", "node.id").alias("a"), F.greatest("centre.id", "node.id").alias("b")).distinct()
+        is_centre = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 20)) < share * (1 << 20)
+        c = marked.where(is_centre).select("key", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("own"))
+        new = marked.join(c, "key").where((F.col("root") != F.col("own")) & _may_link("centre_n", "n"))
+        new = new.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         new = materialise(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         if new.limit(1).count():
             tested = tested.unionByName(new)
             found = materialise(found.unionByName(confirm(new, sets)), "links")
-        elif not marked.where(F.col("size") > centres).limit(1).count():
+        elif not open_.where(F.col("size") > centres).limit(1).count():
             return found
         centres *= 4
 
