@@ -33,6 +33,8 @@ N_B, ROWS_B = 8, 2
 N_HASHES = N_A * ROWS_A + N_B * ROWS_B
 #: Ids of at most so many rows (16 MB) are sent to all executors; more are joined by a shuffle.
 SENT_IDS = 1_000_000
+#: At most so many links are joined by one task; more are contracted by shuffles first.
+LINKS_AT_ONCE = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,39 +185,78 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_confirmed, "a long, b long").distinct()
+    return both.mapInArrow(_confirmed, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root): the least id of each linked document's component, by contraction of the links round by round."""
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all links of the task: each id with the least id of its component."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = above[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = top(u), top(v)
+            above[max(p, q)] = min(p, q)
+    ids = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array([top(x) for x in ids], type=pa.int64())], names=["id", "root"])
+
+
+def components(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
+    """(id, root): the least id of each linked document's component.
+
+    Links are contracted round by round: every document points to its least neighbour, and links between what they point
+    to are left. Once at most ``at_once`` links are left, one task of an executor joins them (some 100 MB).
+    """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    roots = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("root"))
-    while edges.limit(1).count():
+    roots = None
+    while edges.count() > at_once:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("up"))
         jump = up.select(F.col("u").alias("up"), F.col("up").alias("higher"))
         up = materialise(up.join(jump, "up").select("u", F.col("higher").alias("up")), "parents")
-        roots = roots.join(up.withColumnRenamed("u", "root"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-        roots = materialise(roots, "roots")
+        roots = _moved(roots, up.toDF("id", "root"))
         mapped = edges.join(up, "u").select(F.col("up").alias("u"), "v").join(up.select(F.col("u").alias("v"), F.col("up").alias("w")), "v").select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("v"))
         edges = materialise(mapped.where("u != v").distinct(), "edges")
-    return roots
+    return _moved(roots, edges.coalesce(1).mapInArrow(_joined, "id long, root long"))
+
+
+def _moved(roots: DataFrame | None, further: DataFrame) -> DataFrame:
+    """(id, root) after a further step (id, root); ids known to either are kept."""
+    if roots is None:
+        return materialise(further, "roots")
+    step = further.select(F.col("id").alias("root"), F.col("root").alias("further"))
+    moved = roots.join(step, "root", "left").select("id", F.coalesce("further", "root").alias("root"))
+    return materialise(moved.unionByName(further.join(roots, "id", "left_anti")), "roots")
+
+
+def grown(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Components after further links (a, b)."""
+    if found.isEmpty():
+        return roots
+    for c in ("a", "b"):
+        found = found.join(roots.select(F.col("id").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    return _moved(roots, components(found))
 
 
-def links(documents: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """Confirmed links (a, b) between classes that join every pair of similar candidates into one component."""
+def class_components(documents: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(id, root): components of classes in which every pair of similar candidates is in one."""
     held = members(classes)
     sets = full_sets(documents, held.select(F.col("id").alias("doc_id")).distinct(), width)
     pairs = materialise(held.where("centre != id").where(_may_link("centre_n", "n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    tested, found = pairs, materialise(confirm(pairs, sets), "links")
-    centres = 4
+    tested, roots = pairs, components(confirm(pairs, sets))
+    centres = 8
     while True:
-        marked = held.select("key", "id", "n").join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        marked = held.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("key", "size")
         open_ = materialise(open_, "open")
-        if not open_.limit(1).count():
-            return found
-        # about 4, 16, 64, ... classes of a bucket are its centres in this round; all of them once the bucket has no more
+        if open_.isEmpty():
+            return roots
+        # about 8, 256, 8192, ... classes of a bucket are its centres in this round; all of them once the bucket has no more
         marked = materialise(marked.join(open_, "key").select("key", "size", "id", "n", "root"), "marked")
         share = F.least(F.lit(1.0), F.lit(float(centres)) / F.col("size"))
         is_centre = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 20)) < share * (1 << 20)
@@ -223,12 +264,12 @@ def links(documents: DataFrame, classes: DataFrame, width: int) -> DataFrame:
         new = marked.join(c, "key").where((F.col("root") != F.col("own")) & _may_link("centre_n", "n"))
         new = new.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         new = materialise(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.limit(1).count():
+        if not new.isEmpty():
             tested = tested.unionByName(new)
-            found = materialise(found.unionByName(confirm(new, sets)), "links")
-        elif not open_.where(F.col("size") > centres).limit(1).count():
-            return found
-        centres *= 4
+            roots = grown(roots, materialise(confirm(new, sets), "links"))
+        elif open_.where(F.col("size") > centres).isEmpty():
+            return roots
+        centres *= 32
 
 
 def near_duplicates(documents: DataFrame, width: int) -> DataFrame:
@@ -240,8 +281,7 @@ def near_duplicates(documents: DataFrame, width: int) -> DataFrame:
     same = real.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n")).alias("low"), F.max(F.struct("f1", "f2", "n")).alias("high")).where("low != high")
     rows = real.select("doc_id", "f1", "f2", "n").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
     mixed = rows.join(same.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
-    found = links(documents, classes, width)
-    root = components(found.unionByName(mixed.distinct()))
+    root = grown(class_components(documents, classes, width), materialise(mixed.distinct(), "mixed"))
     named = classes.select("f1", "f2", "n", "rep").join(root.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("root"))
     linked = real.select("doc_id", "f1", "f2", "n").join(named, ["f1", "f2", "n"], "left").select("doc_id", "n", "root")
     alone = s.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("root"))
