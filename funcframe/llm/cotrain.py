@@ -46,12 +46,16 @@ def text_view(raw: list[bytes | None]) -> np.ndarray:
     if len(own) > 1:
         after = np.concatenate([own[1:] == own[:-1], [False]])  # equal hashes include the text
         x[:, 9] = run_sums(after.astype(np.int64), w.counts) / n
-        x[:, 10] = _repeats(np.concatenate([mix64(own[1:]) ^ own[:-1], own[-1:]]), w.counts, n)
+        two = np.append(mix64(own[1:]) ^ own[:-1], own[-1:])
+        last = np.cumsum(w.counts)[w.counts > 0] - 1  # a text's last word begins no pair
+        two[last] = mix64(own[last])
+        x[:, 10] = _repeats(two, w.counts, n)
     x[:, 11] = np.log1p(w.counts) / 8
     x[:, 12] = np.minimum(run_sums(w.data == 10, size) / n, 1)
     x[:, 13] = np.minimum(size / n, 30) / 10
     pair = (w.data[:-1].astype(np.uint32) * 31 + w.data[1:]) * np.uint32(2654435761) >> np.uint32(25)
     pair = np.append(pair, np.uint32(0)).astype(np.int64) % N_HASH
+    pair[w.ends - 1] = 0  # the line feed behind a text
     hist = np.bincount(np.repeat(np.arange(len(raw)), size) * N_HASH + pair, minlength=len(raw) * N_HASH)
     x[:, N_STATS:] = hist.reshape(len(raw), N_HASH) / chars[:, None] * 10
     x[w.counts == 0, 1:] = 0

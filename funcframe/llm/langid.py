@@ -43,6 +43,7 @@ def grams(raw: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     data = _LETTER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)].astype(np.uint32)
     lengths = np.array([len(t) + 1 for t in texts])
     a, b = data, np.append(data[1:], 0).astype(np.uint32)
+    b[np.cumsum(lengths) - 1] = 0  # the blank behind a text is followed by no other text
     before = np.append(np.uint32(0), data[:-1]).astype(np.uint32)
     three = ((before << 16 | a << 8 | b) * np.uint32(2654435761)) >> np.uint32(21)
     two = ((a << 8 | b) * np.uint32(2246822519)) >> np.uint32(21)
