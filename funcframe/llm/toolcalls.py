@@ -58,34 +58,42 @@ def problems(name: Column, arguments: Column, schemas: Schema) -> Column:
 def levels(calls: DataFrame) -> DataFrame:
     """KEY and ``level``: 0 without dependencies, else one more than the highest of them; null on and behind cycles.
 
-    Each round settles the calls whose dependencies are settled; there are as many rounds as the longest chain is long.
+    Chains of calls with one dependency each are followed by doubling, in as many rounds as the logarithm of the longest.
+    What is left are calls with several dependencies; each of their rounds settles those that wait for none of them.
     Rows are dealt by conversation and call together, so that one long conversation is no single task.
     """
-    nodes = calls.select(*KEY)
-    edges = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("on")).where("on IS NOT NULL")
-    known = nodes.withColumnRenamed("call_id", "on")
+    nodes = materialise(calls.select(*KEY, "depends_on"), "calls")
+    known = nodes.select("conv_id", F.col("call_id").alias("on"))
+    edges = nodes.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("on")).where("on IS NOT NULL")
     edges = materialise(edges.join(known, ["conv_id", "on"], "left_semi"), "edges")
-    settled, level, left = [], 0, edges.count()
-    open_ = nodes
+    count = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("deps"), F.min("on").alias("on"))
+    # each call with the one that it hangs on, and how far that is; a call with none or several hangs on itself
+    one = F.coalesce(F.col("deps") == 1, F.lit(False))
+    hung = nodes.select(*KEY).join(count, KEY, "left").select(*KEY, F.coalesce("deps", F.lit(0)).alias("deps"), F.when(one, F.col("on")).otherwise(F.col("call_id")).alias("up"), one.cast("int").alias("far"), one.alias("more"))
+    hung, left = materialise(hung, "hung"), None
     while True:
-        ready = open_.join(edges, KEY, "left_anti").withColumn("level", F.lit(level))
-        if not left:
-            return _all(settled, ready)
-        ready = materialise(ready, "ready")
-        settled.append(ready)
-        open_ = open_.join(ready.select(*KEY), KEY, "left_anti")
-        done = ready.select("conv_id", F.col("call_id").alias("on"))
-        edges = materialise(edges.join(done, ["conv_id", "on"], "left_anti"), "edges")
-        before, left = left, edges.count()
-        if left == before:  # what is left hangs on a cycle
-            return _all(settled, open_.withColumn("level", F.lit(None).cast("int")))
-        level += 1
-
-
-def _all(parts: list[DataFrame], last: DataFrame) -> DataFrame:
-    for p in parts:
-        last = last.unionByName(p)
-    return last
+        n = hung.where("more").count()
+        if n in (0, left):  # none, or only those on and behind cycles
+            break
+        left = n
+        above = hung.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("more").alias("more2"))
+        hung = hung.join(above, ["conv_id", "up"]).select(*KEY, "deps", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("more") & F.col("more2")).alias("more"))
+        hung = materialise(hung, "hung")
+    hung = hung.where("NOT more")
+    settled = hung.where("deps = 0").select("conv_id", F.col("call_id").alias("up"), F.lit(0).alias("base"))
+    waiting = hung.where("deps > 1").select(*KEY)
+    if not waiting.isEmpty():
+        via = hung.select("conv_id", F.col("call_id").alias("on"), "up", "far")
+        several = materialise(edges.join(waiting, KEY, "left_semi").join(via, ["conv_id", "on"], "left").select(*KEY, "up", "far"), "several")
+        while True:
+            based = several.join(settled, ["conv_id", "up"], "left").groupBy(*KEY).agg(F.max(F.col("far") + F.col("base") + 1).alias("base"), F.max(F.col("base").isNull()).alias("waits"))
+            done = materialise(based.where("NOT waits").select("conv_id", F.col("call_id").alias("up"), "base"), "done")
+            if done.isEmpty():
+                break
+            settled = materialise(settled.unionByName(done), "settled")
+            several = materialise(several.join(done.select("conv_id", F.col("up").alias("call_id")), KEY, "left_anti"), "several")
+    placed = hung.join(settled, ["conv_id", "up"]).select(*KEY, (F.col("far") + F.col("base")).alias("level"))
+    return nodes.select(*KEY).join(placed, KEY, "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schema = SCHEMAS) -> DataFrame:
