@@ -10,6 +10,7 @@ clash. A very long text spans as many sequences as it needs.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from funcframe.llm.tokens import tokenizer
 LENGTH, END_ID = 4096, 2
 #: Buckets of the hashed vector, dimensions it is projected to, bits of each on the curve.
 BUCKETS, DIMS, BITS = 64, 4, 8
+#: Hashes of this many ids are tabulated; larger ids share them.
+TABLE = 1 << 16
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -58,14 +61,21 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((BUCKETS, DIMS))
 
 
+@functools.cache
+def _signed_buckets() -> np.ndarray:
+    """The hashed bucket of each id, those of negative sign in the second half."""
+    h = mix64(np.arange(1, TABLE + 1, dtype=np.uint64))
+    return ((h % np.uint64(BUCKETS)) + (h >> np.uint64(63)) * np.uint64(BUCKETS)).astype(np.int64)
+
+
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of documents: signed hashed counts of ids, brought to length one, projected, cut into equal cells."""
     sizes = np.array([len(x) for x in ids])
-    flat = np.concatenate([np.zeros(0, dtype=np.int64), *ids]).astype(np.uint64)
-    h = mix64(flat + np.uint64(1))
-    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-    at = np.repeat(np.arange(len(ids)), sizes) * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64)
-    v = np.bincount(at, weights=sign, minlength=len(ids) * BUCKETS).reshape(len(ids), BUCKETS)
+    flat = np.concatenate([np.zeros(0, dtype=np.int32), *ids])
+    at = _signed_buckets()[flat % TABLE]
+    at += np.repeat(np.arange(0, 2 * BUCKETS * len(ids), 2 * BUCKETS), sizes)
+    v = np.bincount(at, minlength=2 * BUCKETS * len(ids)).reshape(len(ids), 2, BUCKETS)
+    v = (v[:, 0] - v[:, 1]).astype(np.float64)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     cells = np.floor((np.clip(v @ _projection(), -3, 3) + 3) / 6 * (1 << BITS))
     return hilbert(np.minimum(cells, (1 << BITS) - 1))
@@ -111,7 +121,7 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def pieces(documents: DataFrame, keep: list[str], text: str = "text", path: str | None = None, length: int = LENGTH) -> DataFrame:
     """``keep`` and ``PIECES``, a row for each piece of each document."""
     t = materialise(tokenised(documents, keep, text, path).withColumn("rid", F.monotonically_increasing_id()), "tokens")
-    placed = t.select("rid", "row", "ids", "width").join(starts(t.select("rid", "place", "n")), "rid").select("row", "ids", "width", "at")
+    placed = t.select("rid", "row", "ids", "width").join(starts(t.select("rid", "place", "n")).hint("merge"), "rid").select("row", "ids", "width", "at")
     made = "row " + documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")).schema["row"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 
 import numpy as np
 
-#: Words and their parts whose ids a worker remembers; the memory is emptied when it is full.
-HELD = 300_000
+#: Words, and as many of their parts, whose ids a worker remembers; those not used since it was last full go first.
+HELD = 250_000
 
 
 def default_path() -> str:
@@ -45,33 +46,45 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
         self.runs: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_runs: dict[bytes, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def pack(self, *ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            stand_in = part.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(stand_in)], dtype=self.dtype).tobytes()
+            got = self.old_parts.get(part)
+            if got is None:
+                stand_in = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                got = self.pack(*[t.id for t in self.model.tokenize(stand_in)])
+            self.parts[part] = got
         return got
 
     def _run(self, run: bytes) -> bytes:
+        ids = self.old_runs.get(run)
+        if ids is not None:
+            self.runs[run] = ids
+            return ids
         text = run.decode()
         core = text.rstrip(".,;:!?*$%&#")
         low = core.lower()
-        if core and core.isalpha() and max(low) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", text):
+        if core.isalpha() and (low.isascii() or (max(low) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", text))):
             ids = self._part(low)
             if len(core) < len(text):
                 ids += self._part(text[len(core) :])
         else:
-            ids = np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+            ids = self.pack(*self.full.encode(text, add_special_tokens=False).ids)
         if len(run) <= 64:
             self.runs[run] = ids
         return ids
 
     def encode(self, text: bytes) -> bytes:
         if len(self.runs) > HELD:
-            self.runs.clear()
+            self.old_runs, self.runs = self.runs, {}
         if len(self.parts) > HELD:
-            self.parts.clear()
+            self.old_parts, self.parts = self.parts, {}
         get, make = self.runs.get, self._run
         return b"".join([got if (got := get(r)) is not None else make(r) for r in text.split()])
 
