@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funcframe.llm.bytesof import mix64, words_of
@@ -243,20 +243,40 @@ def grown(roots: DataFrame, found: DataFrame) -> DataFrame:
     return _moved(roots, components(found))
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, n, f1, packed = (batch.column(i) for i in range(4))
+        for i in range(batch.num_rows):
+            s = _unpacked(packed[i].as_py()).view(np.int64)
+            same = [pa.repeat(c[i], len(s)) for c in (ids, n, f1)]
+            yield pa.RecordBatch.from_arrays([*same, pa.repeat(pa.scalar(len(s), pa.int64()), len(s)), pa.array(s)], names=["id", "n", "f1", "held", "key"])
+
+
+def rare_keys(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(key, id, n): each set's rarest shingles among the sets of ``ids``, so many that two similar sets share one."""
+    own = sets.select("doc_id", "n", "f1", "shingles").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    every = materialise(own.mapInArrow(_single, "id long, n long, f1 long, held long, key long"), "shingles")
+    often = every.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("id", "f1").orderBy("often", "key"))
+    ranked = every.join(often.hint("merge"), "key").withColumn("place", place)
+    needed = f"(held * {PERCENT} + 99) div 100"  # shingles that a similar set shares
+    return materialise(ranked.where(f"often > 1 AND place <= held - {needed} + 1").select("key", "id", "n").distinct(), "rare")
+
+
 def class_components(documents: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(id, root): components of classes in which every pair of similar candidates is in one."""
     held = members(classes)
     sets = full_sets(documents, held.select(F.col("id").alias("doc_id")).distinct(), width)
     pairs = materialise(held.where("centre != id").where(_may_link("centre_n", "n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     tested, roots = pairs, components(confirm(pairs, sets))
-    centres = 8
+    centres, refined = 8, False
     while True:
         marked = held.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("key", "size")
         open_ = materialise(open_, "open")
         if open_.isEmpty():
             return roots
-        # about 8, 256, 8192, ... classes of a bucket are its centres in this round; all of them once the bucket has no more
+        # about 8, then of buckets dealt anew 8, 256, 8192, ... classes are centres in a round; all of them once a bucket has no more
         marked = materialise(marked.join(open_, "key").select("key", "size", "id", "n", "root"), "marked")
         share = F.least(F.lit(1.0), F.lit(float(centres)) / F.col("size"))
         is_centre = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 20)) < share * (1 << 20)
@@ -269,7 +289,13 @@ def class_components(documents: DataFrame, classes: DataFrame, width: int) -> Da
             roots = grown(roots, materialise(confirm(new, sets), "links"))
         elif open_.where(F.col("size") > centres).isEmpty():
             return roots
-        centres *= 32
+        if refined:
+            centres *= 32
+        else:
+            left = open_.where(F.col("size") > centres).select("key")
+            if left.isEmpty():
+                return roots
+            held, refined = rare_keys(sets, held.join(left, "key", "left_semi").select("id").distinct()), True
 
 
 def near_duplicates(documents: DataFrame, width: int) -> DataFrame:

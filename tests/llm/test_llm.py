@@ -394,3 +394,12 @@ def test_pipeline(spark):
             assert out.agg(F.sum("length")).first()[0] == want
         held = out
     assert p.ORACLE_SQL is None and len(p.STAGES) == 5
+
+
+def test_op10_frequent_passage(spark):
+    """Many texts with a passage in common but below the similarity, and near copies of some: none lost, none added."""
+    passage = " ".join(f"p{i}" for i in range(32))
+    rows = [(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(7 + i % 2))) for i in range(200)]
+    rows += [(1000 + i, rows[i * 3][1] + f" v{i}") for i in range(30)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: i if i < 1000 else (i - 1000) * 3 for i, _ in rows}
