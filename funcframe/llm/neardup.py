@@ -138,9 +138,12 @@ def members(classes: DataFrame) -> DataFrame:
     return materialise(held.join(sizes.select(F.col("id").alias("centre"), F.col("n").alias("centre_n")).hint("merge"), "centre"), "members")
 
 
-def _may_link(a: str, b: str):
-    """Sizes that allow the similarity."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _may_link(n_a: str, room_a: str, n_b: str, room_b: str):
+    """Whether sets of sizes ``n`` can be similar whose first common element leaves each ``room`` (itself included).
+
+    With all their elements as room this is what the sizes alone allow.
+    """
+    return (100 + PERCENT) * F.least(room_a, room_b) >= PERCENT * (F.col(n_a) + F.col(n_b))
 
 
 def _with_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -253,49 +256,52 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rare_keys(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(key, id, n): each set's rarest shingles among the sets of ``ids``, so many that two similar sets share one."""
+    """(key, id, n, room): each set's rarest shingles among the sets of ``ids``, so many that two similar sets share one.
+
+    ``room`` counts the shingle and those that are more frequent in the set: what a pair whose first common shingle this
+    is can have in common at most.
+    """
     own = sets.select("doc_id", "n", "f1", "shingles").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     every = materialise(own.mapInArrow(_single, "id long, n long, f1 long, held long, key long"), "shingles")
     often = every.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("id", "f1").orderBy("often", "key"))
-    ranked = every.join(often.hint("merge"), "key").withColumn("place", place)
+    place = F.dense_rank().over(Window.partitionBy("id", "f1").orderBy("often", "key"))  # repeated rows share their ranks
+    ranked = every.join(often.hint("merge"), "key").withColumn("room", F.col("held") - place + 1)
     needed = f"(held * {PERCENT} + 99) div 100"  # shingles that a similar set shares
-    return materialise(ranked.where(f"often > 1 AND place <= held - {needed} + 1").select("key", "id", "n").distinct(), "rare")
+    return materialise(ranked.where(f"often > 1 AND room >= {needed}").select("key", "id", F.col("held").alias("n"), F.col("room").cast("long").alias("room")).distinct(), "rare")
 
 
 def class_components(documents: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(id, root): components of classes in which every pair of similar candidates is in one."""
     held = members(classes)
     sets = full_sets(documents, held.select(F.col("id").alias("doc_id")).distinct(), width)
-    pairs = materialise(held.where("centre != id").where(_may_link("centre_n", "n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    pairs = materialise(held.where("centre != id").where(_may_link("centre_n", "centre_n", "n", "n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     tested, roots = pairs, components(confirm(pairs, sets))
+    held = held.select("key", "id", "n", F.col("n").alias("room"))
     centres, refined = 8, False
     while True:
-        marked = held.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("key", "size")
-        open_ = materialise(open_, "open")
-        if open_.isEmpty():
-            return roots
-        # about 8, then of buckets dealt anew 8, 256, 8192, ... classes are centres in a round; all of them once a bucket has no more
-        marked = materialise(marked.join(open_, "key").select("key", "size", "id", "n", "root"), "marked")
+        marked = held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
+        # about 8, then of buckets dealt anew 8, 8192, ... classes are centres in a round; all of them once a bucket has no more
         share = F.least(F.lit(1.0), F.lit(float(centres)) / F.col("size"))
         is_centre = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 20)) < share * (1 << 20)
-        c = marked.where(is_centre).select("key", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("own"))
-        new = marked.join(c, "key").where((F.col("root") != F.col("own")) & _may_link("centre_n", "n"))
+        marked = materialise(marked.join(open_.select("key", "size"), "key").withColumn("leads", is_centre), "marked")
+        largest = marked.agg(F.max("size")).first()[0]
+        if largest is None:
+            return roots
+        c = marked.where("leads").select("key", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("room").alias("centre_room"), F.col("root").alias("own"))
+        once = ~F.col("leads") | (F.col("id") > F.col("centre"))  # two centres meet once
+        new = marked.join(c, "key").where((F.col("root") != F.col("own")) & once & _may_link("centre_n", "centre_room", "n", "room"))
         new = new.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         new = materialise(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             tested = tested.unionByName(new)
             roots = grown(roots, materialise(confirm(new, sets), "links"))
-        elif open_.where(F.col("size") > centres).isEmpty():
+        if largest <= centres:
             return roots
         if refined:
-            centres *= 32
+            centres *= 1024
         else:
-            left = open_.where(F.col("size") > centres).select("key")
-            if left.isEmpty():
-                return roots
-            held, refined = rare_keys(sets, held.join(left, "key", "left_semi").select("id").distinct()), True
+            held, refined = rare_keys(sets, marked.where(F.col("size") > centres).select("id").distinct()), True
 
 
 def near_duplicates(documents: DataFrame, width: int) -> DataFrame:
