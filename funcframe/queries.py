@@ -175,6 +175,14 @@ def q_group_by_bin(s, d):
     return parts(s, d).group_by_bin(ops.BinSet(100, 40, 60), ops.Count()).samples()
 
 
+@query("""WITH b AS (SELECT unnest(range((SELECT max(p_partkey) FROM part) // 40 + 1)) AS i)
+SELECT CAST(i * 40 AS DOUBLE) AS p_partkey, (SELECT count(*) FROM part WHERE p_partkey // 40 = i) AS count FROM b""")
+def q_group_by_bin_all(s, d):
+    """As many bins as the greatest key needs."""
+    last = read(s, d, "part").agg(F.max("p_partkey")).first()[0]
+    return parts(s, d).group_by_bin(ops.BinSet(0, 40, 0 if last is None else last // 40 + 1), ops.Count()).samples()
+
+
 @query("SELECT event_type, min_by(value, abs(event_id - 500) * 2 + CASE WHEN event_id > 500 THEN 1 ELSE 0 END) AS value FROM events GROUP BY 1")
 def q_nearest(s, d):
     """Within each type, the sample nearest to 500."""
@@ -246,6 +254,17 @@ def q_append(s, d):
     return Composite.of_members("both", [whole.select("o_orderkey<1000"), whole.select("o_orderkey>=2000")]).samples(sort=False)
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def q_resample_all(s, d):
+    return orders(s, d).project("o_orderkey", "o_totalprice").resample(read(s, d, "orders").select("o_orderkey")).samples()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def q_append_all(s, d):
+    whole = orders(s, d).project("o_orderkey", "o_totalprice")
+    return Composite.of_members("both", [whole.select("o_orderkey<1000"), whole.select("o_orderkey>=1000")]).samples(sort=False)
+
+
 @query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def q_composition(s, d):
     lookup = Dataset.of("customers", "c_custkey: long -> c_mktsegment: string", read(s, d, "customer")).lookup()
@@ -304,6 +323,30 @@ def q_max_gap_linear(s, d):
     return _gap(s, d, "linear").samples(sort=False).withColumn("value", F.round("value", 6))
 
 
+_WIDE = _GAP.replace("FROM events WHERE event_id % 5 < 2", "FROM (SELECT event_id + 3 * (event_id // 2) AS event_id, value FROM events)")
+
+
+def _wide(s, d, how):
+    """Every event; the domain is spread so that each second step is a gap."""
+    df = read(s, d, "events").withColumn("event_id", F.expr("event_id + 3 * (event_id div 2)"))
+    return Dataset.of("events", EVENTS, df).project("event_id", "value").max_gap(1, how)
+
+
+@query(_WIDE.format("v"))
+def q_max_gap_floor_all(s, d):
+    return _wide(s, d, "floor").samples(sort=False)
+
+
+@query(_WIDE.format("CASE WHEN i > 0 AND i = extra THEN nv ELSE v END"))
+def q_max_gap_nearest_all(s, d):
+    return _wide(s, d, "nearest").samples(sort=False)
+
+
+@query(_WIDE.format("round(CASE WHEN i = 0 THEN v ELSE v + (nv - v) * (CAST(i AS DOUBLE) / (nx - x)) END, 6)"))
+def q_max_gap_linear_all(s, d):
+    return _wide(s, d, "linear").samples(sort=False).withColumn("value", F.round("value", 6))
+
+
 @query("SELECT event_id, round(epoch_us(ts) / 1e6 / 86400 - 10957, 6) AS t FROM events")
 def q_convert_time(s, d):
     return event_times(s, d).convert_time("days since 2000-01-01").samples().withColumn("t", F.round("t", 6))

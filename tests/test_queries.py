@@ -27,3 +27,12 @@ def test_query_equals_its_sql(spark, name):
     names = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()
     assert canon(tuple(r) for r in got.select(*names).collect()) == canon(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_whole_tables(spark):
+    n = {t: spark.read.parquet(f"{D}/{t}.parquet").count() for t in ("events", "orders", "part")}
+    for how in ("floor", "nearest", "linear"):
+        assert QUERIES[f"max_gap_{how}_all"](spark, D).count() == n["events"] + 3 * (n["events"] // 2 - 1)
+    assert QUERIES["append_all"](spark, D).count() == QUERIES["resample_all"](spark, D).count() == n["orders"]
+    assert sum(r["count"] for r in QUERIES["group_by_bin_all"](spark, D).collect()) == n["part"]
