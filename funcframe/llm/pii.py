@@ -1,8 +1,9 @@
 """Personal data: exact patterns, and a conditional random field over word shapes that adds what they miss.
 
 Defined cases. A null text counts as empty and has no spans. Repeated rows get equal results; an empty table gives an
-empty result; only the id and text columns are read. Ties between labels go to no span. A span of the field that touches
-a pattern's span is dropped. All scans are linear in the text, so one very long word or text is no special case.
+empty result; only the id and text columns are read. Ties between labels go to no span. Punctuation at a word's edge ends a
+span of the field. What the patterns' spans cover of it is taken out and the rest stays; of words that this cuts, the field
+judges the rest anew. All scans are linear in the text, so one very long word or text is no special case.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _NOT_DIGIT = re.compile("[^0-9]+")
+_SAYS = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 
 
 def luhn(digits: str) -> bool:
@@ -76,6 +79,7 @@ N_CLASS = len(_CLASSES)
 N_OWN = 26
 N_FEATURES = N_OWN + 2 * N_CLASS
 _TRIM = b".,;:!?\"'*$%&#|<>"
+_EDGE = _TRIM + b" \t\n\x0b\x0c\r"
 _LETTER = member(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
 _UPPER, _LOWER, _TRIMMED = member(bytes(range(65, 91))), member(bytes(range(97, 123))), member(_TRIM)
 _HAS = [b"@", b".", b"-", b"(", b")", b"+", b"=", b"/", b":", b"_"]
@@ -250,29 +254,72 @@ class Tagger:
             run: list = []
             for k, m in enumerate(_WORDS.finditer(raw[i])):
                 if own[k]:
-                    core = m[0].strip(_TRIM)
-                    a = m.start() + m[0].find(core)
-                    b = a + len(core)
-                    if run and run[3] == k - 1 and run[2] == own[k]:
-                        run[1], run[3] = b, k
+                    a, b = _core(raw[i], m.start(), m.end())
+                    if run and run[3] == k and run[2] == own[k] and a == m.start():
+                        run[1] = b
                     else:
                         if run:
                             out[i].append((run[0], run[1], LABELS[run[2]]))
                         run = [a, b, own[k], k]
+                    run[3] = k + 1 if a < b == m.end() else -1  # the word that may follow in the run
             if run:
                 out[i].append((run[0], run[1], LABELS[run[2]]))
         return out
 
 
-def all_spans(raw: bytes, text: str, added: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The patterns' spans and those of the field that touch none of them, by start and then by kind."""
-    taken = list(base)
-    for a, b, kind in added:
+def _core(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """The part without white space and trimmed signs at its edges."""
+    word = raw[a:b].lstrip(_EDGE)
+    return b - len(word), b - len(word) + len(word.rstrip(_EDGE))
+
+
+class Places:
+    """Places in bytes for places in code points, and back."""
+
+    def __init__(self, raw: bytes, text: str) -> None:
+        self.at = None
         if len(raw) != len(text):
-            a, b = len(raw[:a].decode()), len(raw[:b].decode())
-        if b > a and all(b <= s or a >= e for s, e, _ in base):
-            taken.append((a, b, kind))
-    return sorted(taken, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+            self.at = np.append(np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80), len(raw))
+
+    def bytes_of(self, i: int) -> int:
+        return i if self.at is None else int(self.at[i])
+
+    def points_of(self, i: int) -> int:
+        return i if self.at is None else int(np.searchsorted(self.at, i))
+
+
+def outside(a: int, b: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a range without those covered, which are sorted and disjoint."""
+    out = []
+    for s, e in covered[bisect_right(covered, a, key=lambda c: c[1]) :]:
+        if s >= b:
+            break
+        if s > a:
+            out.append((a, s))
+        a = max(a, e)
+    return [*out, (a, b)] if a < b else out
+
+
+def cut_words(raw: bytes, x: int, y: int, left: bool, right: bool) -> tuple[int, int]:
+    """The end of the cut word at the start of a piece and the start of the one at its end; those of the piece if not cut."""
+    head, tail = x, y
+    if left and not raw[x - 1 : x].isspace():
+        m = _WORDS.match(raw, x, y)
+        head = m.end() if m else x
+    if right and head < y and not raw[y : y + 1].isspace():
+        tail = max(head, x + len(raw[x:y]) - len(raw[x:y].split()[-1])) if not raw[y - 1 : y].isspace() else y
+    return head, tail
+
+
+def _joined(raw: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans of one kind with nothing but white space between them become one."""
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in sorted(spans):
+        if out and out[-1][2] == kind and not raw[out[-1][1] : a].strip():
+            out[-1] = (out[-1][0], b, kind)
+        else:
+            out.append((a, b, kind))
+    return out
 
 
 OUT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -283,11 +330,39 @@ def _told(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _tagged(tagger: Tagger, raw: list[bytes | None]):
+    """For each text the text, the patterns' spans, and these with what the field adds, by start and then by kind."""
     texts = [t or b"" for t in raw]
+    held, asked = [], []
     for t, added in zip(texts, tagger.spans(texts), strict=True):
         text = t.decode()
         base = base_spans(text) if any(c in t for c in (b"@", b"+")) or re.search(rb"[0-9]", t) else []
-        yield text, base, all_spans(t, text, added, base)
+        places = Places(t, text) if added else None
+        covered: list[tuple[int, int]] = []
+        for s, e, _ in base if added else ():
+            s, e = places.bytes_of(s), places.bytes_of(e)
+            if covered and s <= covered[-1][1]:
+                covered[-1] = (covered[-1][0], max(covered[-1][1], e))
+            else:
+                covered.append((s, e))
+        pieces = []
+        for a, b, kind in added:
+            for x, y in outside(a, b, covered):
+                head, tail = cut_words(t, x, y, x > a, y < b)
+                pieces.append((x, head, tail, y, kind, len(asked)))
+                if _SAYS.search(t, x, head) or _SAYS.search(t, tail, y):
+                    asked.append(t[x:y])
+                else:
+                    pieces[-1] = (*pieces[-1][:5], None)
+        held.append((t, text, base, places, pieces))
+    told = tagger.spans(asked)
+    for t, text, base, places, pieces in held:
+        taken = list(base)
+        for x, head, tail, y, kind, ask in pieces:
+            got = [(*_core(t, head, tail), kind)]
+            for p, q, k in [] if ask is None else told[ask]:
+                got += [(*_core(t, max(x + p, lo), min(x + q, hi)), k) for lo, hi in ((x, head), (tail, y)) if max(x + p, lo) < min(x + q, hi)]
+            taken += [(places.points_of(a), places.points_of(b), k) for a, b, k in _joined(t, [g for g in got if g[0] < g[1]])]
+        yield text, base, sorted(taken, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 _TAGGERS: dict[bytes, Tagger] = {}

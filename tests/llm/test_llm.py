@@ -139,6 +139,18 @@ def test_op2_held_out():
     assert right >= 0.98 * sum(len(w) for w, _ in rows)
 
 
+def test_op2_lists_of_mixed_items(spark):
+    """What only the field finds stays next to what a pattern finds, whatever stands between them."""
+    first, second = ("+1 (017) 555-7713", "a.1@x.com"), ("(555) 123-4567", "b(at)y.com")
+    lists = [f"é {x}{between}{y}" for a, b in zip(first, second, strict=True) for between in (", ", ",", "\n", "; ") for x, y in ((a, b), (b, a))]
+    lists += ["mailto:a.1@x.com is one"]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, text string")
+    for r in pii.find(df, ["text"]).collect():
+        got = {r.text[int(a) : int(b)] for _, a, b in (s.split(":") for s in r.spans.split(","))}
+        assert got == {i for i in (*first, *second) if i in r.text}
+    assert not any(i in r.text for r in pii.redact(df).collect() for i in (*first, *second, "4567", "y.com"))
+
+
 # 3 Co-training
 
 
