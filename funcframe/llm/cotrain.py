@@ -2,12 +2,14 @@
 
 Defined cases. A null or empty text has a text view of zeros; null metadata have a value of their own. Repeated rows get
 equal scores; an empty table gives an empty result. Without labels of both kinds, every score is the share of good labels
-(one half without any). A document is kept at a score of ``THRESHOLD`` or more, ties included. Only the named columns are
+(one half without any). Every document whose id has no label can be exchanged, those without an id too; documents that are
+equal in both views are exchanged once. A document is kept at a score of ``THRESHOLD`` or more, ties included. Only the named columns are
 read; other columns pass through :func:`keep_good` untouched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funcframe.llm.bytesof import member, mix64, words_of
-from funcframe.llm.common import adam, map_texts, run_sums, share_below, sigmoid, table
+from funcframe.llm.common import adam, map_texts, materialise, run_sums, share_below, sigmoid, table
 
-#: About this many labelled and as many unlabelled documents are used to fit; all documents are scored.
-LABELLED, POOL = 3000, 2000
+#: About this many labelled documents are used to fit; all documents without a label are searched for sure ones in each round.
+LABELLED = 3000
 ROUNDS, PER_ROUND, SURE = 4, 200, 0.95
 THRESHOLD = 0.5
 N_STATS, N_HASH = 14, 128
@@ -133,8 +135,14 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - self.prior)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
-    """``y``: 1 good, 0 bad. In each round each view labels what it is sure of in the pool, for the other view."""
+#: For each view, what it is sure of: keys and both views' features of good documents, then of bad ones.
+Sure = list[list[tuple[list[int], np.ndarray, np.ndarray]]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Callable[[list[View], list[set[int]]], Sure]) -> Model:
+    """``y``: 1 good, 0 bad. In each round each view labels what it is sure of in the pool, for the other view.
+
+    ``surest`` gets both views and the keys that each has been given, and finds up to ``PER_ROUND`` new ones of a kind."""
     share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     prior = float(np.log(share / (1 - share)))
     if len(set(y.tolist())) < 2:
@@ -143,49 +151,117 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
     check = held if held.any() else ~held
-    views = [[x[~held], y[~held].astype(float), x[check], pool] for x, pool in ((text, pool_text), (meta, pool_meta))]
-    free = [np.ones(len(pool_text), dtype=bool) for _ in views]
+    views = [[x[~held], y[~held].astype(float), x[check]] for x in (text, meta)]
+    has: list[set[int]] = [set(), set()]
     fitted: list[View] = []
     given = [0, 0]
     for turn in range(ROUNDS + 1):
         fitted = []
-        for x, target, x_check, _ in views:
+        for x, target, x_check in views:
             w = _fit(x, target)
             fitted.append(View(w, *_calibrate(x_check @ w, y[check])))
-        if turn == ROUNDS or not len(pool_text):
+        if turn == ROUNDS:
             break
-        for i, view in enumerate(fitted):
+        found = surest(fitted, has)
+        for i, kinds in enumerate(found):
             other = 1 - i
-            p = sigmoid(view.margin(views[i][3]))
-            for good in (1, 0):
-                sure = np.where(free[other], p if good else 1 - p, 0)
-                best = np.argsort(-sure, kind="stable")[:PER_ROUND]
-                best = best[sure[best] >= SURE]
-                views[other][0] = np.concatenate([views[other][0], views[other][3][best]])
-                views[other][1] = np.concatenate([views[other][1], np.full(len(best), float(good))])
-                free[other][best] = False
-                given[i] += len(best)
+            for good, (keys, *both) in zip((1, 0), kinds, strict=True):
+                views[other][0] = np.concatenate([views[other][0], both[other]])
+                views[other][1] = np.concatenate([views[other][1], np.full(len(keys), float(good))])
+                has[other].update(keys)
+                given[i] += len(keys)
+        if not any(keys for kinds in found for keys, *_ in kinds):
+            break
     return Model(*fitted, prior, tuple(given))
 
 
+def _features(raw: list[bytes | None], kept: pa.RecordBatch) -> dict:
+    return {"t": list(map(_packed, text_view(raw))), "m": list(map(_packed, meta_view(kept)))}
+
+
+def _unpacked(column: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.float32).reshape(len(column), width).astype(float)
+
+
+def unlabelled(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """Both views of every document whose id is not among the known ones, and a key of the two, kept on disk."""
+    got = map_texts(documents.select("doc_id", "text", *META), "text", ["doc_id", *META], _features, "t binary, m binary").select("doc_id", "t", "m", F.xxhash64("t", "m").alias("key"))
+    got = got.withColumn("spread", F.when(F.col("doc_id").isNull(), F.col("key")).otherwise(F.lit(0)))  # null ids are many tasks' work
+    ids = known.select("doc_id", F.lit(0).cast("long").alias("spread"))
+    return materialise(got.join(ids, ["doc_id", "spread"], "left_anti").select("key", "t", "m"), "unlabelled")
+
+
+_BEST = "kind int, margin double, key long, t binary, m binary"
+
+
+def _best_of(rows: Iterator[tuple]) -> list[tuple]:
+    """The first ``PER_ROUND`` rows of each kind by margin and then key, each key once."""
+    out: dict[int, dict[int, tuple]] = {}
+    for r in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        mine = out.setdefault(r[0], {})
+        if len(mine) < PER_ROUND:
+            mine.setdefault(r[2], r)
+    return [r for mine in out.values() for r in mine.values()]
+
+
+def find_surest(pool: DataFrame, views: list[View], has: list[set[int]]) -> Sure:
+    """One pass over the pool: each task, then each of a few, hands on its best rows, and the driver merges theirs."""
+    edge = float(np.log(SURE / (1 - SURE)))
+    taken = [np.fromiter(h, dtype=np.int64, count=len(h)) for h in has]
+
+    def rows_of(best: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in best], type=k) for i, k in enumerate(kinds)], names=["kind", "margin", "key", "t", "m"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            t, m = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, (view, x) in enumerate(zip(views, (_unpacked(t, N_TEXT), _unpacked(m, N_META)), strict=True)):
+                margin = np.round(view.margin(x), 9)
+                free = ~np.isin(keys, taken[1 - i])
+                for good in (1, 0):
+                    own = margin if good else -margin
+                    able = np.flatnonzero(free & (own >= edge))
+                    able = able[np.unique(keys[able], return_index=True)[1]]
+                    able = able[np.lexsort((keys[able], -own[able]))[:PER_ROUND]]
+                    best += [(2 * i + 1 - good, float(own[j]), int(keys[j]), t[j], m[j]) for j in able]
+            best = _best_of(best)
+        yield rows_of(best)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []
+        for batch in batches:
+            best = _best_of([*best, *zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+        yield rows_of(best)
+
+    first = pool.mapInArrow(search, _BEST)
+    few = int(np.ceil(np.sqrt(pool.rdd.getNumPartitions())))
+    got = _best_of([tuple(r) for r in first.repartition(max(few, 1)).mapInArrow(merge, _BEST).collect()])
+    out: Sure = [[], []]
+    for kind in range(4):
+        mine = [r for r in got if r[0] == kind]
+        out[kind // 2].append(([r[2] for r in mine], _unpacked([r[3] for r in mine], N_TEXT), _unpacked([r[4] for r in mine], N_META)))
+    return out
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """Fits on hashed shares of the documents: about ``LABELLED`` with a quality, about ``POOL`` without."""
+    """Fits on a hashed share of the labelled documents, about ``LABELLED``, and on what the views are sure of among all others."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n_known, n_docs = known.count(), documents.select("doc_id").count()
-    picked = known.where(share_below(LABELLED / max(n_known, 1), F.col("doc_id"), F.lit("labelled")))
+    picked = known.where(share_below(LABELLED / max(known.count(), 1), F.col("doc_id"), F.lit("labelled")))
     columns = ["doc_id", "text", *META]
-    some = documents.select(*columns)
-    rows = some.join(F.broadcast(picked), "doc_id")  # about LABELLED ids
-    pool = some.where(share_below(POOL / max(n_docs, 1), F.col("doc_id"), F.lit("pool"))).withColumn("quality", F.lit(None).cast("int"))
+    rows = documents.select(*columns).join(F.broadcast(picked), "doc_id")  # about LABELLED ids
+    got = map_texts(rows.select(*columns, "quality"), "text", ["doc_id", *META, "quality"], _features, "t binary, m binary").select("doc_id", "quality", "t", "m").orderBy("doc_id", "quality", "t").collect()
+    quality = np.array([int(r.quality != 0) for r in got], dtype=int)
+    pool: list[DataFrame] = []
 
-    def work(raw: list[bytes | None], kept: pa.RecordBatch) -> dict:
-        return {"t": list(map(_packed, text_view(raw))), "m": list(map(_packed, meta_view(kept)))}
+    def surest(views: list[View], has: list[set[int]]) -> Sure:
+        if not pool:
+            pool.append(unlabelled(documents, known))
+        return find_surest(pool[0], views, has)
 
-    got = map_texts(rows.select(*columns, "quality").unionByName(pool), "text", ["doc_id", *META, "quality"], work, "t binary, m binary").select("doc_id", "quality", "t", "m").orderBy("doc_id", "quality", "t").collect()
-    x = [np.array([np.frombuffer(r[c], dtype=np.float32) for r in got], dtype=float).reshape(len(got), k) for c, k in (("t", N_TEXT), ("m", N_META))]
-    quality = np.array([-1 if r.quality is None else int(r.quality != 0) for r in got], dtype=int)
-    lab = quality >= 0
-    return co_train(x[0][lab], x[1][lab], quality[lab], x[0][~lab], x[1][~lab])
+    return co_train(_unpacked([r.t for r in got], N_TEXT), _unpacked([r.m for r in got], N_META), quality, surest)
 
 
 def _packed(row: np.ndarray) -> bytes:

@@ -168,6 +168,22 @@ def test_op3(spark, docs, odd):
     assert {r.score for r in cotrain.score(docs, none, ["doc_id"]).collect()} == {0.5}
 
 
+def test_op3_exchanges_all_without_a_label(spark):
+    """A kind of one in 25 is exchanged to its last document, repeated rows once, and no labelled document ever."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(8000):
+        bad = i % 25 == 0
+        words = [f"{w}{i % 97}" if not bad else f"{w}##$$!!" for w in rng.choice(["stone", "river", "light", "green", "paper"], 12)]
+        rows.append((i, f"{i} " + " ".join(words), "en", "trash" if bad else "book", 20 if bad else 900))
+    rows += rows[:1000]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 25 != 0)) for i in range(8000)], "doc_id long, quality int")
+    assert cotrain.fit(df, labels).exchanged == (0, 0)
+    n_bad = sum(i % 25 == 0 for i in range(2000, 8000))
+    assert cotrain.fit(df, labels.where("doc_id < 2000")).exchanged == (cotrain.ROUNDS * cotrain.PER_ROUND + n_bad,) * 2
+
+
 # 4 Tool calls
 
 
