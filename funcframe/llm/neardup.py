@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funcframe.llm.bytesof import mix64, words_of
-from funcframe.llm.common import map_texts, materialise, table
+from funcframe.llm.common import fresh, map_texts, materialise, table
 
 PERCENT = 80
 N_A, ROWS_A = 10, 3
@@ -322,11 +322,18 @@ def near_duplicates(documents: DataFrame, width: int) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of the documents that stand for their component, with their columns as they are."""
-    gone = near_duplicates(documents, width).where("NOT kept").select("doc_id").distinct()
-    gone = materialise(gone, "gone")
+    """One row of each component of rows, that of the least id, with its columns as they are.
+
+    Here each row is a document of its own: of rows with one id or none, copies go like any other.
+    """
+    row = fresh(documents, "row_key")
+    keyed = materialise(documents.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    linked = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), width).select(F.col("doc_id").alias("key"), "component_id")
+    ids = keyed.select(F.col(row).alias("key"), F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("key")).alias("first"))
+    stays = linked.join(ids, "key").groupBy("component_id").agg(F.min("first")["key"].alias("key"))
+    gone = materialise(linked.select("key").join(stays.select("key"), "key", "left_anti").withColumnRenamed("key", row), "gone")
     small = gone.count() <= SENT_IDS
-    return documents.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])
+    return keyed.join(F.broadcast(gone) if small else gone, row, "left_anti").select(*[f"`{c}`" for c in documents.columns])
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,6 +392,14 @@ def test_contraction_equals_union_find(spark):
     assert one == many
 
 
+def test_keep_one_of_rows_that_repeat(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text), (7, text), (None, text), (None, "a b c d e f"), (None, "a b c d e f"), (3, text + " w40"), (9, "x y z u v"), (9, "other words of the same id"), (None, None)]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("mine"))).collect()
+    want = [(3, text + " w40"), (None, "a b c d e f"), (9, "x y z u v"), (9, "other words of the same id"), (None, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, want)) and {r.row_key for r in got} == {"mine"}
+
+
 # The pipeline
 
 
