@@ -1,6 +1,7 @@
 """Media columns: Netpbm and BMP images decoded to arrays, resized by area with integral images, kept as NPY tiles.
 
-Defined cases. A null or broken image decodes to null columns. In the query a null text counts as empty and gives the one
+Defined cases. A null or broken image decodes to null columns, and so does a valid BMP of a kind left out: 1, 4 or 16 bits, bit
+fields, run lengths or embedded files; only uncoded ones of 8, 24 and 32 bits are read. In the query a null text counts as empty and gives the one
 block of padding; equal texts give equal values; an empty table gives an empty result. Only the id and the text or image
 column are read. Memory grows with the longest single text.
 """
