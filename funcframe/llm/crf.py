@@ -24,11 +24,16 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(features: list[np.ndarray], labels: list[np.ndarray], n_labels: int, ridge: float = 1e-2, steps: int = 150, rate: float = 0.1) -> Crf:
-    """Maximum likelihood with an L2 penalty, by forward-backward over a padded batch of all sequences."""
+def fit(features: list[np.ndarray], labels: list[np.ndarray], n_labels: int, ridge: float = 1e-2, steps: int = 150, rate: float = 0.1, ends: list[tuple[bool, bool]] | None = None) -> Crf:
+    """Maximum likelihood with an L2 penalty, by forward-backward over a padded batch of all sequences.
+
+    ``ends``: whether a sequence has its real start and its real stop, where it is a run of a longer one.
+    """
     width = features[0].shape[1] if features else 1
     zero = Crf(np.zeros((width, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels), np.zeros(n_labels))
+    ends = ends or [(True, True)] * len(features)
     rows = [(x, y) for x, y in zip(features, labels, strict=True) if len(x)]
+    real_start, real_stop = np.array([e for x, e in zip(features, ends, strict=True) if len(x)], dtype=float).reshape(-1, 2).T[..., None]
     if not rows:
         return zero
     count, longest = len(rows), max(len(x) for x, _ in rows)
@@ -46,16 +51,17 @@ def fit(features: list[np.ndarray], labels: list[np.ndarray], n_labels: int, rid
 
     def gradient(w: list[np.ndarray]) -> list[np.ndarray]:
         weights, trans, start, stop = w
+        stops = stop * real_stop
         emit = x @ weights
         alpha = np.empty((count, longest, n_labels))
         beta = np.empty_like(alpha)
-        alpha[:, 0] = start + emit[:, 0]
+        alpha[:, 0] = start * real_start + emit[:, 0]
         for t in range(1, longest):
             alpha[:, t] = np.where(real[:, t, None], _lse(alpha[:, t - 1, :, None] + trans, 1) + emit[:, t], alpha[:, t - 1])
-        beta[:, -1] = stop
+        beta[:, -1] = stops
         for t in range(longest - 2, -1, -1):
-            beta[:, t] = np.where(real[:, t + 1, None], _lse(trans + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2), stop)
-        log_z = _lse(alpha[:, -1] + stop, 1)
+            beta[:, t] = np.where(real[:, t + 1, None], _lse(trans + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2), stops)
+        log_z = _lse(alpha[:, -1] + stops, 1)
         node = np.exp(alpha + beta - log_z[:, None, None]) * real[..., None]
         g_trans = np.zeros_like(trans)
         for t in range(1, longest):
@@ -65,8 +71,8 @@ def fit(features: list[np.ndarray], labels: list[np.ndarray], n_labels: int, rid
         return [
             np.einsum("btf,btk->fk", x, d) / tokens + ridge * weights / width,
             (g_trans - gold_trans) / tokens + ridge * trans / n_labels,
-            d[:, 0].sum(0) / tokens + ridge * start / n_labels,
-            d[last].sum(0) / tokens + ridge * stop / n_labels,
+            (d[:, 0] * real_start).sum(0) / tokens + ridge * start / n_labels,
+            (d[last] * real_stop).sum(0) / tokens + ridge * stop / n_labels,
         ]
 
     return Crf(*adam(gradient, [zero.weights, zero.trans, zero.start, zero.stop], steps, rate))

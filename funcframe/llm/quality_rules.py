@@ -20,7 +20,7 @@ from funcframe.llm.common import lengths_to_ids, map_texts, run_sums, share_belo
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: A text is kept when at least this share of its words lies in lines labelled content.
 CONTENT_SHARE = 0.5
-#: The field is fitted on about this many labelled documents, and on the first lines of each.
+#: The field is fitted on about this many labelled documents, and on all their lines in runs of this length.
 TRAIN_DOCS, TRAIN_LINES = 600, 30
 
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_content_lines long, content_share double, kept boolean"
@@ -130,11 +130,12 @@ def fit_lines(documents: DataFrame, labels: DataFrame) -> crf.Crf:
     def work(raw: list[bytes | None], _: pa.RecordBatch) -> dict:
         _, x, n_lines, _ = measure(raw)
         cut = np.cumsum(n_lines)
-        return {"x": [x[e - k : e][:TRAIN_LINES].astype(np.float32).tobytes() for k, e in zip(n_lines, cut, strict=True)]}
+        return {"x": [x[e - k : e].astype(np.float32).tobytes() for k, e in zip(n_lines, cut, strict=True)]}
 
     got = map_texts(rows, "text", ["doc_id", "quality"], work, "x binary").orderBy("doc_id", "x").collect()
     xs = [np.frombuffer(r.x, dtype=np.float32).reshape(-1, N_FEATURES).astype(float) for r in got]
-    return crf.fit(xs, [np.full(len(x), int(r.quality == 0)) for x, r in zip(xs, got, strict=True)], 2)
+    runs = [(x[i : i + TRAIN_LINES], int(r.quality == 0), (i == 0, i + TRAIN_LINES >= len(x))) for x, r in zip(xs, got, strict=True) for i in range(0, len(x), TRAIN_LINES)]
+    return crf.fit([x for x, _, _ in runs], [np.full(len(x), y) for x, y, _ in runs], 2, ends=[e for _, _, e in runs])
 
 
 def label_lines(documents: DataFrame, model: crf.Crf, keep: list[str], text: str = "text") -> DataFrame:

@@ -96,6 +96,16 @@ def test_op1(spark, docs, odd):
     assert not quality_rules.fit_lines(docs, labels.limit(0)).weights.any()
 
 
+def test_op1_learns_from_all_lines(spark):
+    """Documents that only differ behind their first 30 lines."""
+    head = [f"line {i} of plain words" for i in range(40)]
+    rows = [(i, "\n".join(head + [f"some further words {k}" if i % 2 else f"#{k}# $$ ||| &&&" for k in range(40)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_rules.fit_lines(df, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    got = {r.doc_id: r.n_content_lines for r in quality_rules.label_lines(df, model, ["doc_id"]).collect()}
+    assert all(n == 80 if i % 2 else n <= 40 for i, n in got.items())
+
+
 # 2 Personal data
 
 _BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
