@@ -3,12 +3,14 @@
 A document has ``N_A`` keys of three minhashes and ``N_B`` keys of two; each pair (a, b) is the key of a table. So 46
 minhashes give 80 tables of five each, where 80 separate bands would take 400. A pair of similarity s misses all tables
 with a chance of at most (1 - s**3)**10 + (1 - s**2)**8: 0.1 % at 0.8, 0.01 % at 0.85. Candidates are confirmed on the
-full shingle sets (48 bits of each shingle's hash).
+full shingle sets, a 64-bit hash for each shingle.
 
 Documents with equal sets are one class from the start. In a bucket of a table, classes are compared with its least
-class; buckets that then hold more than one component are worked on with more and more of their classes as centres until
-every pair of theirs is either compared or in one component. So large groups of copies cost about one comparison a copy,
-and no candidate is left out.
+class. Of small buckets that then hold more than one component, all pairs of different components are compared; in large
+ones, those that share one of their sets' rarest shingles (similar sets do, so this loses no pair) and whose sizes, places
+of the first common shingle and parities of 1024 bits allow the similarity. Both tests are exact bounds, and the second
+leaves few pairs below the similarity. So large groups of copies cost about one comparison a copy, pairs grow with the links
+between components, and no candidate is left out.
 
 Defined cases. A text without words, or null, has an empty set and is linked with nothing. Fewer words than the shingle's
 width make one shingle. Rows without an id are linked with nothing and kept. Rows that share an id are one document with
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funcframe.llm.bytesof import mix64, words_of
@@ -35,6 +37,12 @@ N_HASHES = N_A * ROWS_A + N_B * ROWS_B
 SENT_IDS = 1_000_000
 #: At most so many links are joined by one task; more are contracted by shuffles first.
 LINKS_AT_ONCE = 500_000
+#: In open buckets of at most so many classes all pairs are candidates; those of larger ones have to share a rare shingle.
+SMALL = 16
+#: Rows of a large bucket that one task compares with those that lead it.
+CELL = 2048
+#: Bits of the parity of a set.
+BITS = 1024
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,7 +146,7 @@ def members(classes: DataFrame) -> DataFrame:
     return materialise(held.join(sizes.select(F.col("id").alias("centre"), F.col("n").alias("centre_n")).hint("merge"), "centre"), "members")
 
 
-def _may_link(n_a: str, room_a: str, n_b: str, room_b: str):
+def _may_link(n_a: str, room_a: str, n_b: str, room_b: str) -> Column:
     """Whether sets of sizes ``n`` can be similar whose first common element leaves each ``room`` (itself included).
 
     With all their elements as room this is what the sizes alone allow.
@@ -146,29 +154,39 @@ def _may_link(n_a: str, room_a: str, n_b: str, room_b: str):
     return (100 + PERCENT) * F.least(room_a, room_b) >= PERCENT * (F.col(n_a) + F.col(n_b))
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BITS / 64): each element flips one of ``BITS`` bits, so sets differ in no fewer elements than bits."""
+    out = np.zeros((len(sets), BITS), dtype=np.uint8)
+    for row, s in zip(out, sets, strict=True):
+        row[:] = np.bincount((mix64(s) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+def _near_bits(n_a: str, bits_a: str, n_b: str, bits_b: str) -> Column:
+    """Whether the parities of sets of sizes ``n`` differ in no more bits than similar sets differ in elements."""
+    differ = sum((F.bit_count(F.col(bits_a)[i].bitwiseXOR(F.col(bits_b)[i])) for i in range(BITS // 64)), F.lit(0))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(n_a) + F.col(n_b))
+
+
 def _with_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
     small = ids.count() <= SENT_IDS
     return documents.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
 
 def full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id and its full set (48 bits a shingle, sorted) for the given documents, once for each different set."""
+    """doc_id, its full set (a 64-bit hash of each shingle, sorted) and the set's parity for the given documents."""
 
     def work(raw: list[bytes | None], _: pa.RecordBatch) -> dict:
         sets = shingles(raw, width)
         f1, f2 = _prints(sets)
-        packed = [np.unique(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
-        return {"n": [len(s) for s in sets], "f1": f1, "f2": f2, "shingles": packed}
+        return {"n": [len(s) for s in sets], "f1": f1, "f2": f2, "bits": _lists(parities(sets)), "shingles": [s.astype("<u8").tobytes() for s in sets]}
 
-    got = map_texts(_with_ids(documents.select("doc_id", "text"), ids), "text", ["doc_id"], work, "n long, f1 long, f2 long, shingles binary")
+    got = map_texts(_with_ids(documents.select("doc_id", "text"), ids), "text", ["doc_id"], work, "n long, f1 long, f2 long, bits array<long>, shingles binary")
     return materialise(got, "sets")
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    six = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), dtype=np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").ravel()
+    return np.frombuffer(data, dtype="<u8")
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,52 +274,68 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rare_keys(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(key, id, n, room): each set's rarest shingles among the sets of ``ids``, so many that two similar sets share one.
+    """(key, id, n, room, bits): each set's rarest shingles among the sets of ``ids``, so many that two similar sets share one.
 
     ``room`` counts the shingle and those that are more frequent in the set: what a pair whose first common shingle this
     is can have in common at most.
     """
-    own = sets.select("doc_id", "n", "f1", "shingles").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    every = materialise(own.mapInArrow(_single, "id long, n long, f1 long, held long, key long"), "shingles")
+    own = sets.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    every = materialise(own.select("doc_id", "n", "f1", "shingles").mapInArrow(_single, "id long, n long, f1 long, held long, key long"), "shingles")
     often = every.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
     place = F.dense_rank().over(Window.partitionBy("id", "f1").orderBy("often", "key"))  # repeated rows share their ranks
     ranked = every.join(often.hint("merge"), "key").withColumn("room", F.col("held") - place + 1)
     needed = f"(held * {PERCENT} + 99) div 100"  # shingles that a similar set shares
-    return materialise(ranked.where(f"often > 1 AND room >= {needed}").select("key", "id", F.col("held").alias("n"), F.col("room").cast("long").alias("room")).distinct(), "rare")
+    rare = ranked.where(f"often > 1 AND room >= {needed}").select("key", "id", "f1", F.col("held").alias("n"), F.col("room").cast("long").alias("room")).distinct()
+    bits = own.select(F.col("doc_id").alias("id"), "f1", "bits").distinct()
+    return materialise(rare.join(bits.hint("merge"), ["id", "f1"]).drop("f1"), "rare")
+
+
+def _open(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``held`` in buckets with more than one component, with their root, the bucket's size and its most frequent root."""
+    marked = held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    each = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = each.groupBy("key").agg(F.max_by("root", "n").alias("major"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).where("roots > 1").drop("roots")
+    return materialise(marked.join(buckets, "key"), "marked")
+
+
+def _met(marked: DataFrame, leads: Column) -> DataFrame:
+    """Pairs (a, b) of a leading and any other row of one bucket that are in two components and can be similar.
+
+    A bucket's rows are cut into cells of about ``CELL``; its leading rows go to each cell, so that no bucket is one task's.
+    """
+    cells = F.ceil(F.col("size") / CELL)
+    rows = marked.withColumn("leads", leads).withColumn("cell", F.pmod(F.xxhash64("id", "key"), cells))
+    c = rows.where("leads").select("key", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)).alias("cell"), F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("room").alias("centre_room"), F.col("root").alias("own"), *([F.col("bits").alias("centre_bits")] if "bits" in marked.columns else []))
+    once = ~F.col("leads") | (F.col("id") > F.col("centre"))  # two leading rows meet once
+    new = rows.join(c.hint("merge"), ["key", "cell"]).where((F.col("root") != F.col("own")) & once & _may_link("centre_n", "centre_room", "n", "room"))
+    if "bits" in marked.columns:
+        new = new.where(_near_bits("centre_n", "centre_bits", "n", "bits"))
+    return new.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
 
 
 def class_components(documents: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(id, root): components of classes in which every pair of similar candidates is in one."""
     held = members(classes)
     sets = full_sets(documents, held.select(F.col("id").alias("doc_id")).distinct(), width)
-    pairs = materialise(held.where("centre != id").where(_may_link("centre_n", "centre_n", "n", "n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    tested, roots = pairs, components(confirm(pairs, sets))
+    tested = materialise(held.where("centre != id").where(_may_link("centre_n", "centre_n", "n", "n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    roots = components(confirm(tested, sets))
+
+    def further(pairs: DataFrame) -> None:
+        nonlocal tested, roots
+        new = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(new)
+        roots = grown(roots, materialise(confirm(new, sets), "links"))
+
     held = held.select("key", "id", "n", F.col("n").alias("room"))
-    centres, refined = 8, False
-    while True:
-        marked = held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
-        # about 8, then of buckets dealt anew 8, 8192, ... classes are centres in a round; all of them once a bucket has no more
-        share = F.least(F.lit(1.0), F.lit(float(centres)) / F.col("size"))
-        is_centre = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 20)) < share * (1 << 20)
-        marked = materialise(marked.join(open_.select("key", "size"), "key").withColumn("leads", is_centre), "marked")
-        largest = marked.agg(F.max("size")).first()[0]
-        if largest is None:
-            return roots
-        c = marked.where("leads").select("key", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("room").alias("centre_room"), F.col("root").alias("own"))
-        once = ~F.col("leads") | (F.col("id") > F.col("centre"))  # two centres meet once
-        new = marked.join(c, "key").where((F.col("root") != F.col("own")) & once & _may_link("centre_n", "centre_room", "n", "room"))
-        new = new.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-        new = materialise(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            tested = tested.unionByName(new)
-            roots = grown(roots, materialise(confirm(new, sets), "links"))
-        if largest <= centres:
-            return roots
-        if refined:
-            centres *= 1024
-        else:
-            held, refined = rare_keys(sets, marked.where(F.col("size") > centres).select("id").distinct()), True
+    further(_met(_open(held, roots).where(F.col("size") <= SMALL), F.col("root") != F.col("major")))
+    large = _open(held, roots).where(F.col("size") > SMALL).select("id").distinct()
+    if large.isEmpty():
+        return roots
+    held = rare_keys(sets, large)
+    share = F.least(F.lit(1.0), F.lit(8.0) / F.col("size"))  # some eight rows of each bucket first, which makes components larger
+    further(_met(_open(held, roots), F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)))
+    further(_met(_open(held, roots), F.col("root") != F.col("major")))
+    return roots
 
 
 def near_duplicates(documents: DataFrame, width: int) -> DataFrame:
