@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset, as in tests."""
+    """``spark.checkpoint.dir``, or a temporary folder where it is unset and one machine does all, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="funcframe-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
