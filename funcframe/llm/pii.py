@@ -74,9 +74,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # Word shapes
 
-_CLASSES = ("edge", "lower", "capital", "upper", "digits", "long digits", "at", "dotted", "plus", "bracket", "mixed", "other")
+_CLASSES = ("edge", "lower", "capital", "upper", "digits", "long digits", "at", "dotted", "plus", "bracket", "mixed", "other", "zero digits", "said at", "said dot", "four digits")
 N_CLASS = len(_CLASSES)
-N_OWN = 26
+N_OWN = 38
+#: Words of letters alone that have a shape of their own.
+_SAID = (b"at", b"dot")
+_FOURS = re.compile(rb"[0-9]{4}([.-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}")
+_THREES = re.compile(rb"[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}")
+_SMALL = re.compile(rb"[0-9]{1,2}(?:[./:-][0-9]{1,2})+|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}")
+_AREA = re.compile(rb"0[0-9]{1,4}[/-][0-9]{5,9}")
+_QUAD = re.compile(rb"(?:[0-9]{1,3}\.){3}[0-9]{1,3}")
+_BOOK = re.compile(rb"97[89][0-9]{10}|97[89]-[0-9-]{14}")
+_ANY_SAID = re.compile(rb"[(\[{<_-](?:at|dot)[)\]}>_-]", re.I)
+_DIGITS, _NOT_LETTER = b"0123456789", bytes([*range(65), *range(91, 97), *range(123, 128)])
 N_FEATURES = N_OWN + 2 * N_CLASS
 _TRIM = b".,;:!?\"'*$%&#|<>"
 _EDGE = _TRIM + b" \t\n\x0b\x0c\r"
@@ -86,11 +96,11 @@ _HAS = [b"@", b".", b"-", b"(", b")", b"+", b"=", b"/", b":", b"_"]
 
 
 def shape(word: bytes) -> tuple[np.ndarray, int]:
-    """What the field sees of a word: its own features and the class that its neighbours see."""
+    """What the field sees of a word, all of it: its own features and the class that its neighbours see."""
     core = word.strip(_TRIM) or word
-    digits = sum(48 <= c <= 57 for c in core[:64])
-    letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in core[:64])
-    n = min(len(core), 64)
+    n = len(core)
+    digits = n - len(core.translate(None, _DIGITS))
+    letters = len(core.translate(None, _NOT_LETTER))
     x = np.zeros(N_OWN)
     x[0] = 1
     x[1] = letters == n
@@ -100,17 +110,31 @@ def shape(word: bytes) -> tuple[np.ndarray, int]:
     x[5] = min(n, 24) / 12
     for i, sign in enumerate(_HAS):
         x[6 + i] = sign in core
-    x[16] = core.count(b".") == 3 and digits >= 4 and letters == 0
+    x[16] = _QUAD.fullmatch(core) is not None
     x[17] = b"@" in core[1:] and b"." in core[core.find(b"@") :]
-    x[18] = 13 <= digits <= 19 and digits == n
+    x[18] = 14 <= digits <= 19 and digits == n
     x[19] = core[:1] == b"+" and digits > 0
-    x[20] = core[:1] == b"(" and core[-1:] == b")" and 2 <= digits <= 4
+    x[20] = core[:1] == b"(" and core[-1:] == b")" and 2 <= digits <= 5 and digits == n - 2
     x[21] = b"-" in core and letters == 0 and 6 <= digits <= 8
     x[22] = digits > 0 and letters > 0 and b"@" not in core
     x[23] = 1 <= digits <= 4 and digits == n
     x[24] = digits == 4 and digits == n
-    x[25] = any(s in core.lower() for s in (b"(at)", b"[at]", b"(dot)", b"[dot]"))
-    if letters == n:
+    x[25] = _ANY_SAID.search(core) is not None
+    x[26] = _FOURS.fullmatch(core) is not None
+    x[27] = _THREES.fullmatch(core) is not None
+    x[28] = _SMALL.fullmatch(core) is not None
+    x[29] = _AREA.fullmatch(core) is not None
+    x[30] = _BOOK.fullmatch(core) is not None
+    x[31] = digits == n and 2 <= n <= 5 and core[:1] == b"0"
+    x[32] = digits == n and 6 <= n <= 9
+    x[33] = digits == n and 10 <= n <= 13
+    x[34] = letters == 0 and core.count(b".") > 0 and not x[16]
+    said = core.lower()
+    x[35], x[36] = (said == w for w in _SAID)
+    x[37] = x[25] and digits == 0
+    if said in _SAID:
+        kind = "said " + said.decode()
+    elif letters == n:
         kind = "upper" if core.isupper() else "capital" if core[:1].isupper() else "lower"
     elif b"@" in core:
         kind = "at"
@@ -119,7 +143,7 @@ def shape(word: bytes) -> tuple[np.ndarray, int]:
     elif core[:1] == b"(":
         kind = "bracket"
     elif digits == n:
-        kind = "long digits" if n > 8 else "digits"
+        kind = "zero digits" if x[31] else "four digits" if n == 4 else "long digits" if n > 5 else "digits"
     elif b"." in core and letters == 0:
         kind = "dotted"
     else:
@@ -142,16 +166,21 @@ def features(words: list[bytes]) -> np.ndarray:
 #: The small labelled table: {kind:words} marks personal data, %d stands for a digit and %h for a hexadecimal one.
 PATTERNS = (
     "{email:%w.%d%d@mail%d.example.com}", "{email:%w_%w@%w.org}", "{email:%w@%w.co.uk}", "{email:%w(at)%w.com}", "{email:%w[at]%w[dot]net}",
+    "{email:%w dot %w at %w dot com}", "{email:%w at %w dot org}", "{email:%w (at) %w (dot) net}", "{email:%w%d%d at %w dot com}",
     "{ip:%d%d%d.%d%d.%d%d%d.%d%d}", "{ip:%d%d.%d%d%d.%d.%d%d%d}", "{ip:%d%d%d.%d%d%d.%d%d.%d}",
-    "{card:%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d}", "{card:%d%d%d%d %d%d%d%d %d%d%d%d %d%d%d%d}", "{card:%d%d%d%d-%d%d%d%d-%d%d%d%d-%d%d%d%d}", "{card:%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d}",
+    "{card:%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d}", "{card:%d%d%d%d %d%d%d%d %d%d%d%d %d%d%d%d}", "{card:%d%d%d%d-%d%d%d%d-%d%d%d%d-%d%d%d%d}", "{card:%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d}", "{card:%d%d%d%d.%d%d%d%d.%d%d%d%d.%d%d%d%d}",
     "{phone:+%d (%d%d%d) %d%d%d-%d%d%d%d}", "{phone:(%d%d%d) %d%d%d-%d%d%d%d}", "{phone:+%d%d %d%d %d%d%d %d%d%d%d}", "{phone:%d%d%d-%d%d%d-%d%d%d%d}",
+    "{phone:%d%d%d.%d%d%d.%d%d%d%d}", "{phone:0%d%d %d%d%d%d%d%d%d%d}", "{phone:0%d%d%d/%d%d%d%d%d%d%d}", "{phone:0%d%d-%d%d%d%d%d%d%d}", "{phone:(0%d%d) %d%d%d%d%d%d%d}", "{phone:0%d%d%d %d%d%d%d%d%d%d}",
     'token = "%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h%h"', "version %d.%d.", "License, Version %d.%d.", "CC BY-NC %d.%d.", "in %d%d%d%d", "%d%d%d%d-%d%d-%d%d",
     "%d%d:%d%d", "no. %d%d", "$%d%d.%d%d", "%d%d,%d%d%d", "%d%d%", "page %d%d%d", "%d/%d/%d%d%d%d", "@%w", "%w/%w", "section %d.%d.%d", "+ %d", "(%d)", "(%w %w)", "%d%d%d%d%d", "x%d", "%w-%w", "%W", "%w=%d",
+    "978%d%d%d%d%d%d%d%d%d%d", "ISBN 979%d%d%d%d%d%d%d%d%d%d", "978-%d-%d%d%d%d-%d%d%d%d-%d", "%d%d-0-0-%d", "%d-%d", "%d%d-%d%d", "%d.%d.%d", "%d%d.%d%d.%d%d%d%d", "%d%d:%d%d-%d%d:%d%d", "%d-%d-%d-%d",
+    "%d%d%d%d %d%d%d%d", "%d,%d%d%d,%d%d%d", "%d%d %d%d %d%d", "no. %d%d%d%d%d%d%d", "%d%d%d%d%d%d%d%d%d%d%d%d", "0%d", "0.%d%d", "%d%d%d %d%d%d", "%d%d%d%d/%d%d", "v%d.%d.%d.%d%d", "%d%d%d%d-%d%d%d%d",
+    "%w at %w", "%W at %d%d:%d%d", "at %w %w", "%w at the %w", "a dot %w", "(%w at %w)", "(%w %w at %w %w)", "(at %w)", "%w at the dot on %w", "%w at the dot %w %w", "the dot %w %w", "%w dot %w", "at %w at %w", "%w. At %w %w", "%w (%w) %w", "in %d%d%d%d at %w", "(%d%d)", "(%d%d%d%d)", "%w(%w)", "%w.%w", "%d%d%d%d%d%d%d%d", "%d%d%d%d%d%d", "%d%d%d %w", "0%d%d %w",
 )
 FILLERS = ("%w %w", "%w. %w", "%W %w", "%w, %w %w", "%w%w", "%w!!", "%w***", "%W%W!!", "%w | %w", "%w&&&")
 
 
-def labelled_table(copies: int = 14, seed: int = 7) -> list[tuple[list[bytes], list[int]]]:
+def labelled_table(copies: int = 10, seed: int = 7, patterns: tuple[str, ...] = PATTERNS) -> list[tuple[list[bytes], list[int]]]:
     """Sequences of words and labels: each pattern filled ``copies`` times between neutral words, the same each time."""
     rng = np.random.default_rng(seed)
     pieces = ["th", "er", "on", "an", "re", "he", "in", "ed", "sch", "ung", "ción", "eau", "que", "är", "mi", "la"]
@@ -163,7 +192,7 @@ def labelled_table(copies: int = 14, seed: int = 7) -> list[tuple[list[bytes], l
         return re.sub("%w", lambda _: word(), re.sub("%W", lambda _: word().capitalize(), form))
 
     rows = []
-    for form in PATTERNS * copies:
+    for form in patterns * copies:
         m = re.fullmatch(r"\{(\w+):(.*)\}", form)
         marked = fill(m[2] if m else form).encode().split()
         before, after = (fill(str(rng.choice(FILLERS))).encode().split() for _ in range(2))
@@ -192,6 +221,9 @@ class Tagger:
         for letters in (b"x", b"Xx", b"X"):  # the code of a plain word is its case times LONGEST and its length
             for n in range(self.LONGEST):
                 self._add((letters + letters[-1:] * n)[: n + 1])
+        for word in _SAID:
+            self._add(word)
+        self.fixed = len(self.rows)
 
     def _add(self, word: bytes) -> int:
         own, kind = shape(word)
@@ -201,7 +233,7 @@ class Tagger:
 
     def _codes(self, w: Words) -> np.ndarray:
         if len(self.codes) > self.HELD:
-            del self.rows[3 * self.LONGEST :], self.kinds[3 * self.LONGEST :]
+            del self.rows[self.fixed :], self.kinds[self.fixed :]
             self.codes = {}
         data = w.data
         letter = _LETTER[data]
@@ -217,6 +249,10 @@ class Tagger:
                 head[i] += 1
         case = np.where((upper > 0) & (lower == 0), 2, np.where(_UPPER[data[head]], 1, 0))
         codes = case * self.LONGEST + np.minimum(letters, self.LONGEST) - 1
+        for k, said in enumerate(_SAID):
+            i = np.flatnonzero(plain & (letters == len(said)))
+            same = np.all([data[head[i] + j] | 32 == c for j, c in enumerate(said)], axis=0)
+            codes[i[same]] = 3 * self.LONGEST + k
         joined = data.tobytes()
         for i in np.flatnonzero(~plain):
             word = joined[w.begin[i] : w.end[i]]
