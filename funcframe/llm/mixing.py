@@ -5,7 +5,9 @@ null id hashes as the empty string. Rows that repeat are taken one by one; rows
 hash of all their columns. An empty table gives an empty result. All columns travel in one struct, so names cannot clash.
 
 No stage gathers a source in one task: a source is cut into small ranges of its random keys, sums of the ranges give
-each range its offset, and only within a range are rows sorted. What meets in one task is one row for each source.
+each range its offset, and only within a range are rows sorted. A range with many rows, as one id in many rows makes, is cut
+by a hash of all columns, and a piece of it with many equal rows by their places, so rows of one id are many tasks' work.
+What meets in one task is one row for each source. Words are counted once: rows, sizes and ranges are written and reread.
 """
 
 from __future__ import annotations
@@ -13,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funcframe.llm.common import WORD, table
+from funcframe.llm.common import WORD, materialise, table
 
 #: Weights of the sources in order of their names, repeating; a source is used at most so many times.
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Rows in a range of keys, and ranges whose sums are added up together.
 RANGE_ROWS, GROUP_RANGES = 256, 1024
+#: A range, or a piece of one, of more rows is cut into pieces of about so many.
+MOST_ROWS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -51,6 +55,14 @@ def targets(totals: DataFrame) -> DataFrame:
     return w.select("absent", "source", "source_size", F.least(F.col("full").cast("double"), F.coalesce(level["level"], F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+def _cut(rows: DataFrame, by: list[str], spread: Column, piece: str) -> DataFrame:
+    """``rows`` with a column ``piece``: 0, or for groups of more than ``MOST_ROWS`` rows the range of ``spread``."""
+    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > MOST_ROWS)
+    share = (F.shiftrightunsigned(spread, 33).cast("double") / F.lit(float(1 << 31)))
+    pieces = F.floor(share * F.ceil(F.col("many") / F.lit(float(MOST_ROWS)))).cast("long")
+    return rows.join(large, by, "left").withColumn(piece, F.coalesce(pieces, F.lit(0).cast("long"))).drop("many")
+
+
 def plan(documents: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """``row`` (a struct of ``keep``, by default all columns), size, source_size, target and the words that the mix takes."""
     keep = documents.columns if keep is None else keep
@@ -61,25 +73,34 @@ def plan(documents: DataFrame, text: str = "text", source: str = "source", doc_i
         F.col(f"`{source}`").isNull().alias("absent"),
         F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"),
         n_words(F.col(f"`{text}`")).alias("size"),
+        F.xxhash64(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in keep]).alias("content"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("place"),
     )
-    count = documents.select(F.lit(1)).count()
+    base = materialise(base, "sizes")
+    count = base.select(F.lit(1)).count()
     ranges = max(1, -(-count // RANGE_ROWS))
     part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(1 << 32))
     base = base.withColumn("part", part)
     name = ["absent", "source"]
-    sums = base.groupBy(*name, "part").agg(F.sum("size").alias("size"))
+    if not base.groupBy(*name, "part").count().where(F.col("count") > MOST_ROWS).isEmpty():
+        base = _cut(base, [*name, "part"], F.col("content"), "piece")
+        base = _cut(base, [*name, "part", "piece"], F.col("place"), "bit")
+    else:
+        base = base.withColumns({"piece": F.lit(0).cast("long"), "bit": F.lit(0).cast("long")})
+    cell = ["part", "piece", "bit"]
+    sums = base.groupBy(*name, *cell).agg(F.sum("size").alias("size"))
     sums = sums.withColumn("group", F.floor(F.col("part") / GROUP_RANGES))
     groups = sums.groupBy(*name, "group").agg(F.sum("size").alias("size"))
     so_far = (Window.unboundedPreceding, -1)
     lead = F.coalesce(F.sum("size").over(Window.partitionBy(*name).orderBy("group").rowsBetween(*so_far)), F.lit(0))
     totals = groups.groupBy(*name).agg(F.sum("size").alias("source_size"))
     groups = groups.select(*name, "group", lead.alias("lead")).join(targets(totals), name)
-    own = F.coalesce(F.sum("size").over(Window.partitionBy(*name, "group").orderBy("part").rowsBetween(*so_far)), F.lit(0))
-    offsets = sums.select(*name, "group", "part", own.alias("own")).join(groups, [*name, "group"])
-    offsets = offsets.select(*name, "part", (F.col("lead") + F.col("own")).alias("offset"), "source_size", "target")
+    own = F.coalesce(F.sum("size").over(Window.partitionBy(*name, "group").orderBy(*cell).rowsBetween(*so_far)), F.lit(0))
+    offsets = sums.select(*name, "group", *cell, own.alias("own")).join(groups, [*name, "group"])
+    offsets = offsets.select(*name, *cell, (F.col("lead") + F.col("own")).alias("offset"), "source_size", "target")
 
-    order = Window.partitionBy(*name, "part").orderBy("key", "size", F.xxhash64("row")).rowsBetween(*so_far)
-    placed = base.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(offsets, [*name, "part"])
+    order = Window.partitionBy(*name, *cell).orderBy("key", "size", "content").rowsBetween(*so_far)
+    placed = base.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(offsets, [*name, *cell])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size") - F.col("offset") - F.col("before")
