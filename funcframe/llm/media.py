@@ -1,6 +1,7 @@
 """Media columns: Netpbm and BMP images decoded to arrays, resized by area with integral images, kept as NPY tiles.
 
-Defined cases. A null or broken image decodes to null columns, and so does a valid BMP of a kind left out: 1, 4 or 16 bits, bit
+Defined cases. A null or broken image decodes to null columns (a header that promises more than the bytes can hold and a
+sample above the maximum count as broken), and so does a valid BMP of a kind left out: 1, 4 or 16 bits, bit
 fields, run lengths or embedded files; only uncoded ones of 8, 24 and 32 bits are read. In the query a null text counts as empty and gives the one
 block of padding; equal texts give equal values; an empty table gives an empty result. Only the id and the text or image
 column are read. Memory grows with the longest single text.
@@ -52,13 +53,15 @@ def _netpbm(data: bytes) -> np.ndarray:
             end = at
             while data[end : end + 1].isdigit():
                 end += 1
+            if end - at > 9:
+                raise ValueError("size")
             fields.append(int(data[at:end]))
             at = end
     width, height, most = *fields[:2], fields[2] if n_fields == 3 else 1
     kind, depth = int(data[1:2]), 3 if data[1:2] in (b"3", b"6") else 1
-    if not (0 < width and 0 < height and 0 < most < 65536):
-        raise ValueError("size")
     count = width * height * depth
+    if not (0 < width and 0 < height and 0 < most < 65536 and count <= 8 * (len(data) - at)):
+        raise ValueError("size")
     if kind == 1:
         body = b"".join(line.split(b"#")[0] for line in data[at:].split(b"\n"))
         got = 1 - (np.frombuffer(bytes(c for c in body if c in b"01"), dtype=np.uint8)[:count] - 48)
@@ -69,6 +72,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         got = np.array(data[at:].split()[:count], dtype=np.int64)
     else:
         got = np.frombuffer(data, dtype=">u2" if most > 255 else np.uint8, offset=at + 1, count=count)
+    if got.size and not 0 <= got.min() <= got.max() <= most:
+        raise ValueError("sample out of range")
     got = got.reshape((height, width, 3) if depth == 3 else (height, width))
     return got.astype(np.uint8) if most == 255 else np.rint(got * (255.0 / most)).astype(np.uint8)
 
@@ -79,6 +84,8 @@ def _bmp(data: bytes) -> np.ndarray:
     if packed != 0 or bits not in (8, 24, 32) or width <= 0 or height == 0:
         raise ValueError("kind of BMP")
     stride = (width * bits // 8 + 3) // 4 * 4
+    if start + stride * abs(height) > len(data):
+        raise ValueError("size")
     rows = np.frombuffer(data, dtype=np.uint8, offset=start, count=stride * abs(height)).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
     if bits == 8:
@@ -95,7 +102,7 @@ def decode(data: bytes) -> np.ndarray:
             return _netpbm(data)
         if data[:2] == b"BM":
             return _bmp(data)
-    except (struct.error, IndexError, ValueError) as e:
+    except (struct.error, IndexError, ValueError, OverflowError, MemoryError) as e:
         raise ValueError(f"broken image: {e}") from None
     raise ValueError("neither Netpbm nor BMP")
 
@@ -166,11 +173,11 @@ def store(text: bytes) -> tuple[bytes, bytes]:
     return payload, encode_netpbm(pixels) if kind == "P6" else encode_bmp(pixels)
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
 
 
 def text_media(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and ``DIGEST`` of every text stored as an image and read back."""
+    """``keep`` and ``DIGEST`` of every text stored as an image and read back; ``tile`` is a grey tile as NPY bytes."""
 
     def work(raw: list[bytes | None], _: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c.split()[0]: [] for c in DIGEST.split(", ")}
@@ -180,7 +187,7 @@ def text_media(documents: DataFrame, keep: list[str], text: str = "text") -> Dat
             back = np.ascontiguousarray(pixels).tobytes()
             g = grey(pixels)
             tile = npy(np.rint(resize(g, TILE, TILE)).astype(np.uint8))
-            row = (len(t or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(g)}:{zlib.crc32(tile):08x}")
+            row = (len(t or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(g)}:{zlib.crc32(tile):08x}", tile)
             for c, v in zip(out, row, strict=True):
                 out[c].append(v)
         return out
