@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from funcframe.llm.bytesof import mix64
 from funcframe.llm.common import adam, map_texts, share_below, sigmoid, table
 
-#: About this many documents of each language are used to fit.
-PER_LANGUAGE = 900
+#: About this many documents of each language are used to fit, and of all languages at most about so many (160 MB).
+PER_LANGUAGE, FIT_ROWS = 900, 20_000
 N_GRAMS = 2048
 #: Families of languages by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -135,7 +135,8 @@ def held_out() -> F.Column:
 def fit(documents: DataFrame) -> Machines:
     rows = documents.where(learnable() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
-    share = F.coalesce(*[F.when((F.col("lang") == c) & share_below(PER_LANGUAGE / n, F.col("doc_id"), F.lit("language")), True) for c, n in sizes.items()], F.lit(False)) if sizes else F.lit(False)
+    each = min(PER_LANGUAGE, FIT_ROWS / max(len(sizes), 1))
+    share = F.coalesce(*[F.when((F.col("lang") == c) & share_below(each / n, F.col("doc_id"), F.lit("language")), True) for c, n in sizes.items()], F.lit(False)) if sizes else F.lit(False)
 
     def work(raw: list[bytes | None], _: pa.RecordBatch) -> dict:
         return {"x": [h.astype(np.float32).tobytes() for h in histogram(raw)]}
