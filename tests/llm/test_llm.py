@@ -91,9 +91,9 @@ def test_op1(spark, docs, odd):
             assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
     kept = {r.doc_id: r.kept for r in quality_rules.op1_quality_lines(spark, D).collect()}
     lab = [(r.quality, kept[r.doc_id]) for r in labels.collect()]
-    assert sum(k for q, k in lab if q == 1) >= 0.9 * sum(q for q, _ in lab) and not any(k for q, k in lab if q == 0)
+    assert sum(k for q, k in lab if q == 1) >= 0.9 * sum(q for q, _ in lab) and sum(k for q, k in lab if q == 0) <= 0.05 * sum(q == 0 for q, _ in lab)
     assert quality_rules.label_lines(docs.limit(0), model, ["doc_id"]).count() == 0
-    assert not quality_rules.fit_lines(docs, labels.limit(0)).weights.any()
+    assert not quality_rules.fit_lines(docs, labels.limit(0)).field.weights.any()
 
 
 def test_op1_learns_from_all_lines(spark):
@@ -106,6 +106,36 @@ def test_op1_learns_from_all_lines(spark):
     assert all(n == 80 if i % 2 else n <= 40 for i, n in got.items())
 
 
+def test_op1_labels_lines_of_mixed_documents(spark):
+    """Notices that the fit has not seen, planted in good documents: labels of lines are right, and many texts are mixed."""
+    d = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality_rules.fit_lines(documents, labels)
+    notices = ["Log in | Register | Help", "(c) 2021 Example Ltd. All rights reserved.", "Skip to content", "Previous | Next", "Categories: Music, Film", "Print | Mail | Save", "12 Replies | 3 Views"]
+    rng = np.random.default_rng(4)
+    right = lines = 0
+    for x in documents.join(labels.where("quality = 1"), "doc_id").collect():
+        own = [line for line in x.text.split("\n") if WORD.search(line)]
+        if len(own) >= 3:
+            at = int(rng.integers(len(own) + 1))
+            run = [notices[i] for i in rng.choice(len(notices), 3, replace=False)]
+            _, f, n, _, h = quality_rules.measure(["\n".join([*own[:at], *run, *own[at:]]).encode()])
+            bad = np.isin(np.arange(len(own) + 3), range(at, at + 3))
+            free = ~np.isin(h, model.shared)  # lines that many documents share are boilerplate of their own
+            right += int((quality_rules.labels_of(model, f, n, h) == bad)[free].sum())
+            lines += int(free.sum())
+    assert lines > 300 and right >= 0.95 * lines
+    got = quality_rules.label_lines(documents, model, ["doc_id"]).where("n_lines > 1")
+    assert got.where("n_content_lines > 0 AND n_content_lines < n_lines").count() >= 0.05 * got.count()
+
+
+def test_op1_plants_where_it_says():
+    text = "é one two.\nthree four\n\nfive"
+    got, planted = quality_rules.plant(text.encode())
+    lines = [line for line in got.decode().split("\n") if WORD.search(line)]
+    assert len(lines) == len(planted) and [x for x, p in zip(lines, planted, strict=True) if not p] == ["é one two.", "three four", "five"] and any(planted)
+
+
 # 2 Personal data
 
 _BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -141,12 +171,34 @@ def test_op2(docs, odd):
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == len(ODD) and pii.find(docs.limit(0), ["doc_id"]).count() == 0
 
 
-def test_op2_held_out():
-    """Another filling of the labelled table than the one that was fitted."""
+#: Forms that the labelled table does not hold; the second half is like personal data, but none.
+HELD_OUT = (
+    "{email:%w.%w@%w.example.org}", "{email:%w(at)%w(dot)de}", "{email:%w dot %w at %w dot net}", "{email:%w-%d@%w.info}", "{ip:%d%d.%d.%d%d%d.%d%d}", "{ip:%d.%d.%d.%d}",
+    "{card:%d%d%d%d-%d%d%d%d-%d%d%d%d-%d%d%d}", "{card:%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d%d}", "{phone:+%d%d %d%d%d %d%d%d%d%d%d%d}", "{phone:0%d%d%d-%d%d%d%d%d%d}", "{phone:(0%d%d%d) %d%d%d%d%d%d}", "{phone:0%d%d%d%d %d%d%d%d%d%d}",
+    "10-0-%d-%d", "979%d%d%d%d%d%d%d%d%d%d", "%d%d/%d%d/%d%d", "%d%d%d%d%d%d%d", "%d.%d%d.%d", "%d%d:%d%d:%d%d", "meet at %w", "%d%d%d-%d%d%d", "%d%d%d%d.%d%d", "%d%d%d %d%d", "%w at %w %w", "at %d%d", "in %d%d%d%d-%d%d%d%d", "at the dot of %w", "%w_%w", "%w:%d%d%d%d",
+)
+
+
+def test_op2_held_out_forms():
+    """Precision and recall of each kind, by words, on forms that the field was not fitted on."""
     model = pii.fit_shapes()
-    rows = pii.labelled_table(copies=3, seed=99)
-    right = sum((crf.viterbi(pii.features(w) @ model.weights, np.array([len(w)]), model.trans, model.start, model.stop) == np.array(y)).sum() for w, y in rows)
-    assert right >= 0.98 * sum(len(w) for w, _ in rows)
+    assert not set(HELD_OUT) & set(pii.PATTERNS)
+    pairs = [(g, y) for w, ys in pii.labelled_table(20, 99, HELD_OUT) for g, y in zip(crf.viterbi(pii.features(w) @ model.weights, np.array([len(w)]), model.trans, model.start, model.stop), ys, strict=True)]
+    for k in range(1, len(pii.LABELS)):
+        both = sum(g == y == k for g, y in pairs)
+        assert both >= 0.9 * sum(g == k for g, _ in pairs) > 0 and both >= 0.9 * sum(y == k for _, y in pairs) > 0
+
+
+def test_op2_judges_whole_words():
+    """A word of which only what lies behind its first 64 signs tells that it is personal data, and hard cases."""
+    tagger = pii.Tagger(pii.fit_shapes())
+    told = lambda t: [t.encode()[a:b].decode() + ":" + k for a, b, k in tagger.spans([t.encode()])[0]]
+    own, _ = pii.shape(b"a" * 64 + b"1234567890@x.y")
+    assert not own[1] and own[3] == 1 and own[17]
+    assert told("a" * 80 + "(at)" + "b" * 80 + ".com") == ["a" * 80 + "(at)" + "b" * 80 + ".com:email"]
+    assert told("see 10-0-0-1 or 9781234567897") == []
+    assert told("call 030 12345678 now") == ["030 12345678:phone"] and told("ring 0171/2345678 today") == ["0171/2345678:phone"]
+    assert told("john dot doe at gmail dot com") == ["john dot doe at gmail dot com:email"] and told("card 4111.1111.1111.1111 is") == ["4111.1111.1111.1111:card"]
 
 
 def test_op2_lists_of_mixed_items(spark):
@@ -277,9 +329,35 @@ def test_op6(spark, docs, odd):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_op6_cuts_ranges_of_repeated_ids(spark, monkeypatch):
+    """One id in a third of the rows, many of them equal, and rows without an id: same budgets, no piece with many rows."""
+    monkeypatch.setattr(mixing, "MOST_ROWS", 20)
+    rows = [(i if i % 3 else 7, "a b c" if i % 2 else f"w{i} " * (i % 5), None, f"s{i % 2}", 1) for i in range(600)] + [(None, "x y", None, "s1", 1)] * 90
+    df = spark.createDataFrame(rows, SCHEMA)
+    own, target = plain_mix(rows)
+    p = mixing.plan(df).select("row.*", "size", "source_size", "target", "taken").collect()
+    assert len(p) == len(rows)
+    for s in own:
+        mine = [r for r in p if r.source == s]
+        assert all(r.source_size == own[s] and r.target == pytest.approx(target[s]) and 0 <= r.taken <= 3 * r.size for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[s]) < 1.001
+
+
 # 7 Media
 
 
+def plain_resize(g, height, width):
+    """Means by repeating each pixel and averaging blocks."""
+    fine = np.repeat(np.repeat(g, height, 0), width, 1)
+    return fine.reshape(height, g.shape[0], width, g.shape[1]).mean((1, 3))
+
+
+@pytest.mark.parametrize("data", [b"P2 1 1 255 99999999999999999999999", b"P2 1 1 255 -5", b"P2 1 1 255 300", b"P5 99999999999999999999 1 255\n\x00", b"P5 999999999 999999999 255\n\x00", b"P6 5 5 255\n\x00", b"P4 1", b"P1 2 2\n1", b"BM" + b"\xff" * 60, b"BM" + b"\x00" * 60, media.encode_bmp(np.zeros((3, 3, 3), np.uint8))[:60], b"P5 -1 4 255\n", b""])
+def test_op7_broken_images_are_null(data):
+    with pytest.raises(ValueError):
+        media.decode(data)
+
+
 def test_op7_round_trips(spark, docs, odd):
     rng = np.random.default_rng(0)
     g, c = rng.integers(0, 256, (7, 5), dtype=np.uint8), rng.integers(0, 256, (7, 5, 3), dtype=np.uint8)
@@ -295,6 +373,17 @@ def test_op7_round_trips(spark, docs, odd):
             b = (r.text or "").encode()
             payload = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+            pixels = np.frombuffer(payload, dtype=np.uint8).reshape(*((-1, 48) if (kind := media.FORMATS[zlib.crc32(payload) % 3]) == "P5" else (-1, 16, 3)))
+            stored = media.encode_bmp(pixels) if kind == "BMP" else media.encode_netpbm(pixels)
+            assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+            dhash, crc = r.feature.split(":")
+            tile = np.load(io.BytesIO(r.tile))
+            assert zlib.crc32(r.tile) == int(crc, 16) and tile.shape == (32, 32) and tile.dtype == np.uint8
+            if len(payload) < 6000:
+                g = (pixels if pixels.ndim == 2 else pixels @ np.array([0.299, 0.587, 0.114])).astype(float)
+                assert np.abs(tile - plain_resize(g, 32, 32)).max() <= 0.5 + 1e-6
+                small = plain_resize(g, 8, 9).round(6)
+                assert dhash == np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
     images = spark.createDataFrame([(1, bytearray(media.encode_bmp(c))), (2, bytearray(b"GIF")), (3, None)], "i int, image binary")
     got = {r.i: r for r in media.tiles(images, ["i"]).collect()}
     assert np.load(io.BytesIO(got[1].tile)).shape == (32, 32) and got[1].channels == 3 and got[2].tile is None and got[3].dhash is None
@@ -316,6 +405,25 @@ def test_op8(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(odd.limit(0)), ["doc_id"]).collect()} == {"und"}
 
 
+def test_op8_votes_as_a_plain_count():
+    """Families first, then one vote for each pair, ties by backing and then by name."""
+    rng = np.random.default_rng(6)
+    m = langid.Machines(["a", "b"], [["de", "en", "nl"], ["fr"]], [(0, 0, 1), (0, 0, 2), (0, 1, 2)], np.zeros((1, 5)), np.zeros(5))
+    margins = rng.normal(size=(300, 5))
+    names, score = m.predict(margins)
+    for row, name, s in zip(margins, names, score, strict=True):
+        if row[1] > row[0]:
+            assert name == "fr"
+            continue
+        votes, backing = dict.fromkeys(("de", "en", "nl"), 0), dict.fromkeys(("de", "en", "nl"), 0.0)
+        for x, (i, j) in zip(row[2:], (("de", "en"), ("de", "nl"), ("en", "nl")), strict=True):
+            votes[i if x >= 0 else j] += 1
+            p = 1 / (1 + np.exp(-2 * x))
+            backing[i] += p
+            backing[j] += 1 - p
+        assert name == min(votes, key=lambda c: (-votes[c], -backing[c], c)) and 0 <= s <= 1
+
+
 # 9 Packing
 
 
