@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from funcframe import operators as ops
 from funcframe.model import ORD, Function, Type, col, columns, find, parse
 from funcframe.operators.combining import append
+from funcframe.operators.reading import read_each
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,7 @@ _METHODS: dict[str, Callable[..., ops.Operator]] = {
     "group_by_bin_width": ops.GroupByBinWidth, "integrate": ops.SumIntegration, "curry": ops.Curry, "curry_right": ops.CurryRight, "uncurry": ops.Uncurry, "pivot": ops.Pivot, "transpose": ops.Transpose,
     "make_cartesian": ops.MakeCartesian, "evaluation": ops.Evaluation, "resample": ops.Resample, "compose": ops.Composition, "substitute": ops.Substitution, "on_change": ops.OnChange, "max_delta": ops.MaxDelta,
     "max_gap": ops.MaxGap, "convert_time": ops.ConvertTime, "format_time": ops.FormatTime, "time_tuple_to_time": ops.TimeTupleToTime, "to_binary": lambda i: ops.ConvertBinary(i, 2), "to_hex": lambda i: ops.ConvertBinary(i, 16),
-    "to_base64": lambda i: ops.ConvertBinary(i, 64), "map": ops.MapSamples, "without": ops.RemoveVariables, "select": lambda *a: ops.Selection.parse(a[0]) if len(a) == 1 else ops.Selection(*a),
+    "to_base64": lambda i: ops.ConvertBinary(i, 64), "map": ops.MapSamples, "map_rows": ops.MapRows, "filter_rows": ops.FilterRows, "with_reader": ops.WithReader, "without": ops.RemoveVariables, "select": lambda *a: ops.Selection.parse(a[0]) if len(a) == 1 else ops.Selection(*a),
 }
 
 
@@ -141,10 +142,11 @@ def _union(members: list[Dataset]) -> DataFrame:
     return append(parts)[1]
 
 
-def granules(id: str, listed: Dataset, read: Callable[[list[str]], DataFrame], model: Type, uri: str = "uri") -> Dataset:
+def granules(id: str, listed: Dataset, read: Callable[[list[str]], DataFrame] | None, model: Type, uri: str = "uri", each: Callable[[bytes], list[dict]] | None = None) -> Dataset:
     """A dataset of files that a list names. A selection by the list's domain leaves files unread.
 
-    The list is metadata with a row for each file, so its rows come to the driver; samples never do.
+    With ``each``, a function of a file's bytes, tasks read the files and the list stays distributed. With ``read``, a
+    Spark reader of paths, the list (a row for each file) comes to the driver; samples never do.
     """
 
     @dataclass(frozen=True)
@@ -156,13 +158,15 @@ def granules(id: str, listed: Dataset, read: Callable[[list[str]], DataFrame], m
             if isinstance(op, ops.Selection) and op.id in known and may_prune and op.id in {s.id for s in _domain(self.model)}:
                 wide = {">": ">=", "<": "<="}.get(op.op, op.op)
                 pruned = listed.with_operation(ops.Selection(op.id, wide, op.value)) if wide != "!=" else listed
-                base = granules(id, pruned, read, model, uri)
+                base = granules(id, pruned, read, model, uri, each)
                 return replace(base, operations=out.operations)
             return out
 
     find(listed.model, uri)
 
     def source() -> DataFrame:
+        if each:
+            return read_each(listed.with_order(), uri, each, model)
         paths = [r[0] for r in listed.samples().select(col(uri)).collect()]
         return read(paths)
 

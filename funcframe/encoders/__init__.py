@@ -1,15 +1,17 @@
 """Datasets as text, JSON lines, bytes, archives, events and descriptions.
 
-Encoders stream samples through the driver row by row; :func:`write_csv` writes in parallel.
+Encoders stream samples through the driver row by row, as one response has to; :func:`write_csv` and the module
+``parallel`` encode and write with all tasks.
 """
 
 from __future__ import annotations
 
 import html
-import io
 import json
 import math
-import struct
+import queue
+import tempfile
+import threading
 import zipfile
 from collections.abc import Iterator
 
@@ -19,7 +21,6 @@ from pyspark.sql import functions as F
 from funcframe.dataset import Dataset
 from funcframe.model import Function, Index, ModelError, Scalar, Tuple, Type, col, column_id, columns, domain, elements, range_, scalars
 from funcframe.operators import Uncurry
-from funcframe.sources.files import record_layout
 
 
 def _flat(ds: Dataset) -> Dataset:
@@ -123,37 +124,88 @@ def text(ds: Dataset) -> Iterator[str]:
 
 
 def binary(ds: Dataset) -> Iterator[bytes]:
-    """Big-endian records of fixed width."""
-    flat = _flat(ds)
-    layout = record_layout(flat.model)
-    form = struct.Struct(">" + "".join(c for _, c in layout))
-    for r in flat.samples().toLocalIterator():
-        yield form.pack(*[v.encode().ljust(int(s.meta["size"])) if isinstance(v, str) else v for v, (s, _) in zip(r, layout, strict=True)])
+    """Big-endian records of fixed width, packed by tasks, a run of samples at a time."""
+    from funcframe.encoders.parallel import binary_blocks
+
+    for (body,) in binary_blocks(ds).toLocalIterator():
+        yield bytes(body)
 
 
-def archive(ds: Dataset) -> bytes:
-    """A ZIP file of a dataset ``name -> bytes``."""
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+def write_archive(ds: Dataset, out) -> None:
+    """A ZIP file of a dataset ``name -> bytes`` to a binary file; one entry is held at a time."""
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in ds.samples().toLocalIterator():
             z.writestr(name, bytes(body))
-    return held.getvalue()
 
 
-def events(ds: Dataset, chunk: int = 100) -> Iterator[str]:
-    """Server-sent events: metadata, data in chunks, or an error."""
+def archive(ds: Dataset) -> Iterator[bytes]:
+    """The bytes of :func:`write_archive`, by way of a file on disk."""
+    with tempfile.TemporaryFile() as held:
+        write_archive(ds, held)
+        held.seek(0)
+        while part := held.read(1 << 20):
+            yield part
+
+
+def netcdf(ds: Dataset) -> Iterator[bytes]:
+    """The bytes of a netCDF file of a Cartesian dataset, by way of a file on the driver's disk."""
+    from funcframe.sources.netcdf import write
+
+    with tempfile.NamedTemporaryFile() as held:
+        write(ds, held.name)
+        while part := held.read(1 << 20):
+            yield part
+
+
+#: Seconds without an event after which an empty comment is sent.
+HEARTBEAT = 30.0
+
+
+def events(ds: Dataset, chunk: int = 100, heartbeat: float | None = None) -> Iterator[str]:
+    """Server-sent events: metadata, data in chunks, or an error; an empty comment every ``heartbeat`` seconds meanwhile."""
+    made: queue.Queue = queue.Queue(maxsize=8)
+    gone = threading.Event()
+
+    def put(text: str | None) -> bool:
+        while not gone.is_set():
+            try:
+                made.put(text, timeout=1)
+                return True
+            except queue.Full:
+                continue
+        return False
+
+    def work() -> None:
+        try:
+            put(f"event: metadata\ndata: {metadata(ds)}\n\n")
+            held: list[str] = []
+            for line in json_lines(ds):
+                held.append(line.strip())
+                if len(held) == chunk:
+                    if not put(f'event: data\ndata: {{"data":[{",".join(held)}]}}\n\n'):
+                        return
+                    held = []
+            if held:
+                put(f'event: data\ndata: {{"data":[{",".join(held)}]}}\n\n')
+        except ModelError as e:
+            put(f"event: error\ndata: {json.dumps({'message': str(e)})}\n\n")
+        except Exception:  # noqa: BLE001  what Spark says may hold paths
+            put(f"event: error\ndata: {json.dumps({'message': 'unspecified error'})}\n\n")
+        put(None)
+
+    threading.Thread(target=work, daemon=True).start()
     try:
-        yield f"event: metadata\ndata: {metadata(ds)}\n\n"
-        held: list[str] = []
-        for line in json_lines(ds):
-            held.append(line.strip())
-            if len(held) == chunk:
-                yield f"event: data\ndata: [{','.join(held)}]\n\n"
-                held = []
-        if held:
-            yield f"event: data\ndata: [{','.join(held)}]\n\n"
-    except Exception as e:  # noqa: BLE001
-        yield f"event: error\ndata: {json.dumps(str(e))}\n\n"
+        while True:
+            try:
+                text = made.get(timeout=HEARTBEAT if heartbeat is None else heartbeat)
+            except queue.Empty:
+                yield ":\n\n"
+                continue
+            if text is None:
+                return
+            yield text
+    finally:
+        gone.set()
 
 
 #: Names of types in the declaration language; others have none.
@@ -199,7 +251,7 @@ def html_catalog(listing: dict, title: str = "Datasets") -> str:
 #: By the extension of a request.
 BY_EXTENSION = {
     "csv": ("text/csv", csv), "txt": ("text/plain", lambda ds: csv(ds, header=False)), "jsonl": ("application/jsonl", json_lines), "meta": ("application/json", lambda ds: [metadata(ds)]), "asc": ("text/plain", text),
-    "bin": ("application/octet-stream", binary), "zip": ("application/zip", lambda ds: [archive(ds)]), "sse": ("text/event-stream", events), "dds": ("text/plain", lambda ds: [dds(ds)]), "das": ("text/plain", lambda ds: [das(ds)]),
+    "bin": ("application/octet-stream", binary), "zip": ("application/zip", archive), "nc": ("application/netcdf", netcdf), "sse": ("text/event-stream", events), "dds": ("text/plain", lambda ds: [dds(ds)]), "das": ("text/plain", lambda ds: [das(ds)]),
 }
 
-__all__ = ["BY_EXTENSION", "DataFrame", "archive", "binary", "column_id", "columns", "csv", "das", "dds", "domain", "events", "html_catalog", "json_lines", "metadata", "text", "write_csv"]
+__all__ = ["BY_EXTENSION", "DataFrame", "archive", "binary", "column_id", "columns", "csv", "das", "dds", "domain", "events", "html_catalog", "json_lines", "metadata", "netcdf", "text", "write_archive", "write_csv"]

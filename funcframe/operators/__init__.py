@@ -10,6 +10,7 @@ from funcframe.operators.choosing import Contains, Drop, DropLast, DropRight, He
 from funcframe.operators.combining import Append, Composition, Computed, Known, Substitution
 from funcframe.operators.converting import ConvertBinary, ConvertTime, FileListToZipList, FormatTime, TimeTupleToTime
 from funcframe.operators.grouping import BinSet, Count, CountBy, Default, First, GroupBy, GroupByBin, GroupByBinWidth, Nearest, Stats, Sum, SumIntegration
+from funcframe.operators.reading import AppendJoin, BinaryOperation, Bound, FilterRows, FlatMapRows, Join, MapRangeRows, MapRows, WithReader
 from funcframe.operators.series import MaxDelta, MaxGap, OnChange
 from funcframe.operators.shaping import Curry, CurryRight, Evaluation, MakeCartesian, Pivot, Resample, Transpose, Uncurry
 from funcframe.plans import expressions
@@ -59,7 +60,7 @@ def from_expression(text: str, keep_quotes: bool = False) -> list[Operator]:
 
 
 __all__ = [
-    "REGISTRY", "Aggregation", "Append", "BinSet", "Composition", "Computed", "Contains", "ConvertBinary", "ConvertTime", "Count", "CountBy", "Curry", "CurryRight", "Default", "Drop", "DropLast", "DropRight", "Evaluation",
-    "FileListToZipList", "Filter", "First", "FormatTime", "GroupBy", "GroupByBin", "GroupByBinWidth", "Head", "Known", "Last", "MakeCartesian", "MapRange", "MapSamples", "MaxDelta", "MaxGap", "Nearest", "OnChange", "Operator", "Pivot",
-    "Projection", "RemoveVariables", "Rename", "Resample", "Selection", "Stats", "Stride", "Substitution", "Sum", "SumIntegration", "Tail", "Take", "TakeRight", "Taking", "TimeTupleToTime", "Transpose", "Uncurry", "build", "from_expression", "register",
+    "REGISTRY", "Aggregation", "Append", "AppendJoin", "BinSet", "BinaryOperation", "Bound", "Composition", "Computed", "Contains", "ConvertBinary", "ConvertTime", "Count", "CountBy", "Curry", "CurryRight", "Default", "Drop", "DropLast", "DropRight", "Evaluation",
+    "FileListToZipList", "Filter", "FilterRows", "First", "FlatMapRows", "FormatTime", "GroupBy", "GroupByBin", "GroupByBinWidth", "Head", "Join", "Known", "Last", "MakeCartesian", "MapRange", "MapRangeRows", "MapRows", "MapSamples", "MaxDelta", "MaxGap", "Nearest", "OnChange", "Operator", "Pivot",
+    "Projection", "RemoveVariables", "Rename", "Resample", "Selection", "Stats", "Stride", "Substitution", "Sum", "SumIntegration", "Tail", "Take", "TakeRight", "Taking", "TimeTupleToTime", "Transpose", "Uncurry", "WithReader", "build", "from_expression", "register",
 ]

@@ -150,7 +150,7 @@ class GroupBy(Operator):
 
     def apply(self, df: DataFrame, m: Type) -> DataFrame:
         inner = self._inner(m)
-        if not isinstance(inner, Function) or isinstance(self.aggregation, Default):
+        if not isinstance(inner, Function) or type(self.aggregation) in (Default, First):
             sort = place(df, m)
             if isinstance(inner, Function) and type(self.aggregation) is Default:
                 made = [_samples(df, inner, columns(inner), sort).alias(column_id(inner))]

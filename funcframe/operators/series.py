@@ -100,17 +100,17 @@ class MaxDelta(Operator):
 
 
 class MaxGap(Operator):
-    """Puts samples into gaps larger than a size, that far apart, with values by ``floor``, ``nearest`` or ``linear``."""
+    """Puts samples into gaps larger than a size, that far apart, with values by ``floor``, ``nearest`` or ``linear``; ``none`` puts none in."""
 
-    NAMES = {"floor": "floor", "nearest": "nearest", "near": "nearest", "linear": "linear"}
+    NAMES = {"none": "none", "floor": "floor", "nearest": "nearest", "near": "nearest", "linear": "linear"}
 
     def __init__(self, size: float | str, interpolation: str) -> None:
         self.size = number(size, "maxGap")
         if not self.size > 0:
             raise ModelError("maxGap needs a positive size")
-        if interpolation not in self.NAMES:
+        if interpolation.lower() not in self.NAMES:
             raise ModelError(f"Unsupported interpolation: {interpolation}")
-        self.interpolation = self.NAMES[interpolation]
+        self.interpolation = self.NAMES[interpolation.lower()]
 
     def apply_model(self, m: Type) -> Type:
         d = one_dimension(m, "maxGap")
@@ -123,6 +123,8 @@ class MaxGap(Operator):
         return m
 
     def apply(self, df: DataFrame, m: Type) -> DataFrame:
+        if self.interpolation == "none":  # equality alone: no point within a gap has a sample
+            return df
         d = one_dimension(m, "maxGap")
         size = float(int(self.size)) if d.kind in INTEGRAL else self.size
         names = [column_id(e) for e in range_(m)]

@@ -40,10 +40,29 @@ ADAPTERS: dict[str, Reader] = {
     "FileListAdapter": lambda spark, model, c, uris: files.file_list(spark, model, uris[0], c["pattern"], c.get("columns"), c.get("baseDir")),
     "GranuleListGenerator": lambda spark, model, c, _: files.granule_list(spark, model, c["start"], c["step"], c["pattern"], c.get("end")),
     "JdbcAdapter": lambda spark, model, c, uris: files.jdbc(spark, model, uris[0], c["table"], c.get("predicate"), int(c.get("fetchSize", 8192)), **{k: c[k] for k in ("driver", "user", "password") if k in c}),
+    "NetcdfAdapter": lambda spark, model, c, uris: _netcdf(spark, model, uris[0]).source(),
     "MockAdapter": lambda spark, model, c, _: spark.createDataFrame([(0, 0), (1, 2), (2, 4)], ", ".join(f"`{s.id}` int" for s in [model.domain, model.range])),
 }
 
 
+def _netcdf(spark: SparkSession, model: Type, path: str) -> Dataset:
+    from funcframe.sources.netcdf import Netcdf
+
+    return Netcdf.of_file("file", model, path, spark)
+
+
+#: Readers of whole datasets by the ending of a URI; more can be added.
+READERS: dict[str, Callable[[str, SparkSession], Dataset]] = {}
+
+
+def open_dataset(uri: str, spark: SparkSession) -> Dataset:
+    """The dataset that the reader for a URI's ending makes of it."""
+    for ending, make in READERS.items():
+        if uri.endswith(ending):
+            return make(uri, spark)
+    raise ModelError(f"No reader for {uri}")
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -109,6 +128,10 @@ def _dataset(root: ET.Element, spark: SparkSession, base: str) -> Dataset:
         listed = _dataset(kids["dataset"], spark, base)
         out = granules(root.attrib["id"], listed, lambda uris: read(spark, model, config, [resolve(u) for u in uris]), model)
     else:
+        if name == "NetcdfAdapter" and "source" in kids:
+            from dataclasses import replace
+
+            return replace(_netcdf(spark, model, resolve(kids["source"].attrib["uri"])), id=root.attrib["id"], metadata=meta).with_operations(operations)
         if "source" not in kids or "uri" not in kids["source"].attrib:
             raise ModelError("A description needs a source with a uri")
         uri = resolve(kids["source"].attrib["uri"])
@@ -121,6 +144,9 @@ def read(path: str, spark: SparkSession) -> Dataset:
         return parse(f.read(), spark, os.path.dirname(os.path.abspath(path)))
 
 
+READERS[".fdml"] = read
+
+
 @dataclass
 class Catalog:
     """Datasets by id, and catalogs within catalogs by names with dots."""

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import urllib.request
-from collections.abc import Iterator
 from datetime import UTC, datetime
 from urllib.parse import urlparse
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funcframe.functions.times import iso_millis, iso_text
-from funcframe.model import ORD, Function, Index, ModelError, Scalar, Type, col, columns, domain, elements, range_, scalars, struct_type
+from funcframe.model import ORD, Function, Index, ModelError, Scalar, Type, col, columns, domain, elements, range_, scalars
 
 #: Big-endian codes of fixed-width types.
 CODES = {"boolean": "?", "byte": "b", "short": "h", "int": "i", "long": "q", "float": "f", "double": "d"}
@@ -120,19 +117,9 @@ def record_layout(model: Type) -> list[tuple[Scalar, str]]:
 
 def binary_records(spark: SparkSession, model: Type, path: str) -> DataFrame:
     """Big-endian records of fixed width; an incomplete last record is dropped."""
-    layout = record_layout(model)
-    form = ">" + "".join(c for _, c in layout)
-    size = struct.calcsize(form)
-    names = [s.id for s, _ in layout]
-    schema = struct_type(model)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for body in pdf["content"]:
-                rows = [tuple(v.decode().rstrip("\0 ") if isinstance(v, bytes) else v for v in r) for r in struct.iter_unpack(form, body[: len(body) // size * size])]
-                yield pd.DataFrame(rows, columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, schema)
+    from funcframe.encoders.parallel import records_of
+
+    return records_of(spark.read.format("binaryFile").load(path).select("content"), model)
 
 
 def jdbc(spark: SparkSession, model: Type, url: str, table: str, predicate: str | None = None, fetch_size: int = 8192, **options: str) -> DataFrame:

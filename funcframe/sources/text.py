@@ -146,13 +146,15 @@ class FormattedAdapter(TextAdapter):
             out += [int(m[3] or 1)] * int(m[1] or 1)
         return out
 
+    def _joint(self) -> str:
+        return ""  # places count on over the lines of a record
+
     def fields(self, line: Column) -> Column:
         made, at = [], 1
-        flat = F.regexp_replace(line, ",", "") if "/" in self.format else line
         for w in self.widths():
-            made.append(F.translate(F.substring(flat, at, w), " ", "0"))
+            made.append(F.translate(F.substring(line, at, w), " ", "0"))
             at += w
-        return F.when(F.length(flat) >= at - 1, F.array(*made))
+        return F.when(F.length(line) >= at - 1, F.array(*made))
 
 
 @dataclass(frozen=True)

@@ -90,7 +90,7 @@ def test_encoders(spark, tmp_path):
     nested = Dataset.of("n", "(x, y) -> a", spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "x int, y int, a int")).curry()
     assert list(encoders.text(nested))[1:] == ["0 -> {\n  0 -> 1\n  1 -> 2\n}\n"] and list(encoders.csv(nested))[0] == "x,y,a\r\n"
     z = Function(Scalar("name", "string"), Scalar("bytes", "binary"))
-    held = encoders.archive(Dataset.of("z", z, spark.createDataFrame([("first", b"1st"), ("second", b"2nd")], struct_type(z))))
+    held = b"".join(encoders.archive(Dataset.of("z", z, spark.createDataFrame([("first", b"1st"), ("second", b"2nd")], struct_type(z)))))
     (tmp_path / "a.zip").write_bytes(held)
     assert zipfile.ZipFile(tmp_path / "a.zip").read("second") == b"2nd"
     encoders.write_csv(d, str(tmp_path / "csv"))
