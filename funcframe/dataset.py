@@ -60,7 +60,13 @@ class Dataset:
     def with_order(self) -> DataFrame:
         """The samples, unsorted, with the hidden place where there is one."""
         m, df = self.source_model, self.source()
-        for op in self.operations:
+        todo = list(self.operations)
+        while todo:
+            op = todo.pop(0)
+            if todo and isinstance(todo[0], ops.Uncurry) and (flat := ops.flat(op, df, m)) is not None:
+                m = todo.pop(0).apply_model(op.apply_model(m))  # nesting and laying out flat again is no work
+                df = flat.select(*[col(c) for c in columns(m)])
+                continue
             df = op.apply(df, m)
             m = op.apply_model(m)
         return df
@@ -102,7 +108,7 @@ _METHODS: dict[str, Callable[..., ops.Operator]] = {
     "group_by_bin_width": ops.GroupByBinWidth, "integrate": ops.SumIntegration, "curry": ops.Curry, "curry_right": ops.CurryRight, "uncurry": ops.Uncurry, "pivot": ops.Pivot, "transpose": ops.Transpose,
     "make_cartesian": ops.MakeCartesian, "evaluation": ops.Evaluation, "resample": ops.Resample, "compose": ops.Composition, "substitute": ops.Substitution, "on_change": ops.OnChange, "max_delta": ops.MaxDelta,
     "max_gap": ops.MaxGap, "convert_time": ops.ConvertTime, "format_time": ops.FormatTime, "time_tuple_to_time": ops.TimeTupleToTime, "to_binary": lambda i: ops.ConvertBinary(i, 2), "to_hex": lambda i: ops.ConvertBinary(i, 16),
-    "to_base64": lambda i: ops.ConvertBinary(i, 64), "map": ops.MapSamples, "map_rows": ops.MapRows, "filter_rows": ops.FilterRows, "with_reader": ops.WithReader, "without": ops.RemoveVariables, "select": lambda *a: ops.Selection.parse(a[0]) if len(a) == 1 else ops.Selection(*a),
+    "to_base64": lambda i: ops.ConvertBinary(i, 64), "map": ops.MapSamples, "map_rows": ops.MapRows, "filter_rows": ops.FilterRows, "with_reader": ops.WithReader, "interpolate": ops.Interpolate, "without": ops.RemoveVariables, "select": lambda *a: ops.Selection.parse(a[0]) if len(a) == 1 else ops.Selection(*a),
 }
 
 

@@ -201,12 +201,16 @@ def struct_type(m: Type) -> T.StructType:
     return T.StructType([one(e) for e in top(m) if not isinstance(e, Index)])
 
 
-def order(m: Type, reverse: bool = False, df_columns: list[str] = ()) -> list[Column]:
-    """Sort keys of the samples: the domain in its order, or the hidden place where the domain has an index."""
+def order_parts(m: Type, reverse: bool = False, df_columns: list[str] = ()) -> list[tuple[Column, bool]]:
+    """The keys that samples are sorted by, and whether they fall: the domain, or the hidden place where it has an index."""
     keys = [s for s in domain(m) if not isinstance(s, Index)]
     if not keys or any(isinstance(s, Index) for s in domain(m)) or ORD in df_columns:
-        return [F.col(ORD).desc() if reverse else F.col(ORD)]
-    return [col(s.id).desc() if s.desc != reverse else col(s.id) for s in keys]
+        return [(F.col(ORD), reverse)]
+    return [(col(s.id), s.desc != reverse) for s in keys]
+
+
+def order(m: Type, reverse: bool = False, df_columns: list[str] = ()) -> list[Column]:
+    return [c.desc() if falls else c for c, falls in order_parts(m, reverse, df_columns)]
 
 
 _TOKEN = re.compile(r"\s*(->|[(),:]|[\w.]+)")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from funcframe.model import ModelError
+from funcframe.model import ORD, Function, Index, ModelError, Type, domain, range_
 from funcframe.operators.base import Aggregation, Filter, MapRange, MapSamples, Operator, Taking
 from funcframe.operators.choosing import Contains, Drop, DropLast, DropRight, Head, Last, Projection, RemoveVariables, Rename, Selection, Stride, Tail, Take, TakeRight
 from funcframe.operators.combining import Append, Composition, Computed, Known, Substitution
 from funcframe.operators.converting import ConvertBinary, ConvertTime, FileListToZipList, FormatTime, TimeTupleToTime
 from funcframe.operators.grouping import BinSet, Count, CountBy, Default, First, GroupBy, GroupByBin, GroupByBinWidth, Nearest, Stats, Sum, SumIntegration
 from funcframe.operators.reading import AppendJoin, BinaryOperation, Bound, FilterRows, FlatMapRows, Join, MapRangeRows, MapRows, WithReader
-from funcframe.operators.series import MaxDelta, MaxGap, OnChange
+from funcframe.operators.series import Interpolate, MaxDelta, MaxGap, OnChange
 from funcframe.operators.shaping import Curry, CurryRight, Evaluation, MakeCartesian, Pivot, Resample, Transpose, Uncurry
 from funcframe.plans import expressions
 
@@ -20,6 +20,20 @@ def _select(*args: str) -> Selection:
     return Selection.parse(args[0]) if len(args) == 1 else Selection(*args)
 
 
+def flat(op: Operator, df, m: Type):
+    """The samples of a grouping or currying operator that are laid out flat right behind it; None where that takes arrays."""
+    if isinstance(op, GroupBy) and type(op.aggregation) is Default and isinstance(inner := op._inner(m), Function):
+        names, need = op.ids, True
+    elif isinstance(op, Curry):
+        inner, names, need = op.apply_model(m), (), False
+        inner = next((e for e in range_(inner) if isinstance(e, Function)), None)
+    else:
+        return None
+    if inner is None or ORD in df.columns or any(isinstance(s, Index) for s in [*domain(m), *domain(inner)]) or any(isinstance(e, Function) for e in range_(m)):
+        return None
+    return df.where(" AND ".join(f"`{i}` IS NOT NULL" for i in names)) if need else df
+
+
 #: name: (builder, least and most number of arguments)
 REGISTRY: dict[str, tuple[Callable[..., Operator], int, int | None]] = {
     "contains": (Contains, 2, None), "convertTime": (ConvertTime, 1, 1), "count": (Count, 0, 0), "countBy": (CountBy, 1, None), "curry": (Curry, 0, 1), "curryRight": (CurryRight, 1, 1),
@@ -61,6 +75,6 @@ def from_expression(text: str, keep_quotes: bool = False) -> list[Operator]:
 
 __all__ = [
     "REGISTRY", "Aggregation", "Append", "AppendJoin", "BinSet", "BinaryOperation", "Bound", "Composition", "Computed", "Contains", "ConvertBinary", "ConvertTime", "Count", "CountBy", "Curry", "CurryRight", "Default", "Drop", "DropLast", "DropRight", "Evaluation",
-    "FileListToZipList", "Filter", "FilterRows", "First", "FlatMapRows", "FormatTime", "GroupBy", "GroupByBin", "GroupByBinWidth", "Head", "Join", "Known", "Last", "MakeCartesian", "MapRange", "MapRangeRows", "MapRows", "MapSamples", "MaxDelta", "MaxGap", "Nearest", "OnChange", "Operator", "Pivot",
-    "Projection", "RemoveVariables", "Rename", "Resample", "Selection", "Stats", "Stride", "Substitution", "Sum", "SumIntegration", "Tail", "Take", "TakeRight", "Taking", "TimeTupleToTime", "Transpose", "Uncurry", "WithReader", "build", "from_expression", "register",
+    "FileListToZipList", "Filter", "FilterRows", "First", "FlatMapRows", "FormatTime", "GroupBy", "GroupByBin", "GroupByBinWidth", "Head", "Interpolate", "Join", "Known", "Last", "MakeCartesian", "MapRange", "MapRangeRows", "MapRows", "MapSamples", "MaxDelta", "MaxGap", "Nearest", "OnChange", "Operator", "Pivot",
+    "Projection", "RemoveVariables", "Rename", "Resample", "Selection", "Stats", "Stride", "Substitution", "Sum", "SumIntegration", "Tail", "Take", "TakeRight", "Taking", "TimeTupleToTime", "Transpose", "Uncurry", "WithReader", "build", "flat", "from_expression", "register",
 ]

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funcframe.functions import times
-from funcframe.model import NUMERIC, ORD, Function, Index, ModelError, Scalar, Tuple, Type, change, col, column_id, columns, domain, elements, find, function, group, range_, scalars, top
+from funcframe.model import NUMERIC, ORD, Function, Index, ModelError, Scalar, Tuple, Type, change, col, column_id, columns, domain, elements, find, function, group, order_parts, range_, scalars, top
 from funcframe.operators.base import Filter, Operator, Taking, integer, keys, number
 from funcframe.plans.expressions import OPERATORS, unquoted
-from funcframe.plans.sequence import with_ordinal
+from funcframe.plans.sequence import behind, with_ordinal
 
 
 class Projection(Operator):
@@ -215,6 +215,16 @@ class Last(TakeRight):
         super().__init__(1)
 
 
+#: Up to so many samples, the key of the last one to leave out is found by a top-n; beyond, all are numbered.
+MOST_BY_KEY = 100_000
+
+
+def _behind(df: DataFrame, m: Type, n: int, reverse: bool) -> DataFrame:
+    if n <= MOST_BY_KEY:
+        return behind(df, order_parts(m, reverse, df.columns), n) if n else df
+    return with_ordinal(df, keys(df, m, reverse=reverse), "__n").where(F.col("__n") >= n).drop("__n")
+
+
 class Drop(Operator):
     """All but the first samples: rows behind the n-th in order, whatever partition they are in."""
 
@@ -222,7 +232,7 @@ class Drop(Operator):
         self.n = max(0, integer(n, "drop"))
 
     def apply(self, df: DataFrame, m: Type) -> DataFrame:
-        return with_ordinal(df, keys(df, m), "__n").where(F.col("__n") >= self.n).drop("__n") if self.n else df
+        return _behind(df, m, self.n, False)
 
 
 class Tail(Drop):
@@ -235,7 +245,7 @@ class DropRight(Operator):
         self.n = max(0, integer(n, "dropRight"))
 
     def apply(self, df: DataFrame, m: Type) -> DataFrame:
-        return with_ordinal(df, keys(df, m, reverse=True), "__n").where(F.col("__n") >= self.n).drop("__n") if self.n else df
+        return _behind(df, m, self.n, True)
 
 
 class DropLast(DropRight):

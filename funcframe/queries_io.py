@@ -383,10 +383,36 @@ def q_zip_list(s, d):
     return got.select(F.concat(F.lit("part_"), F.split(body, ",")[0], F.lit(".txt")).alias("name"), F.regexp_count(body, F.lit("\n")).cast("long").alias("n")).groupBy("name").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT event_id + 3 * (event_id // 2) AS event_id, value FROM events")
-def q_max_gap_none(s, d):
-    df = read(s, d, "events").withColumn("event_id", F.expr("event_id + 3 * (event_id div 2)"))
-    return Dataset.of("events", EVENTS, df).project("event_id", "value").max_gap(1, "none").samples(sort=False)
+_PRICES = "(SELECT p_partkey, p_retailprice AS v, lead(p_retailprice) OVER (ORDER BY p_partkey) AS nv, lead(p_partkey) OVER (ORDER BY p_partkey) AS np FROM part)"
+
+
+def _at(s: SparkSession, d: str, how: str, share: float) -> DataFrame:
+    """The parts' prices at a share of the way from each key to the next one; at the last key itself."""
+    df = read(s, d, "part").select(F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("v"))
+    last = df.agg(F.max("x").alias("last"))
+    points = df.select("x").join(F.broadcast(last)).select(F.least(F.col("x") + share, "last").alias("x"))
+    return Dataset.of("prices", "x: double -> v: double", df).interpolate(points, how).samples(sort=False).withColumn("v", F.round("v", 6))
+
+
+@query("SELECT CAST(p_partkey AS DOUBLE) AS x, round(v, 6) AS v FROM " + _PRICES)
+def q_interpolate_none(s, d):
+    return _at(s, d, "none", 0)
+
+
+@query("SELECT CAST(p_partkey AS DOUBLE) + CASE WHEN nv IS NULL THEN 0 ELSE 0.25 END AS x, round(v, 6) AS v FROM " + _PRICES)
+def q_interpolate_floor(s, d):
+    return _at(s, d, "floor", 0.25)
+
+
+@query("SELECT CAST(p_partkey AS DOUBLE) + CASE WHEN nv IS NULL THEN 0 ELSE 0.5 END AS x, round(coalesce(nv, v), 6) AS v FROM " + _PRICES)
+def q_interpolate_nearest(s, d):
+    """Half way the later sample counts."""
+    return _at(s, d, "nearest", 0.5)
+
+
+@query("SELECT CAST(p_partkey AS DOUBLE) + CASE WHEN nv IS NULL THEN 0 ELSE 0.25 END AS x, round(coalesce(v + (nv - v) * 0.25, v), 6) AS v FROM " + _PRICES)
+def q_interpolate_linear(s, d):
+    return _at(s, d, "linear", 0.25)
 
 
 @query("SELECT l_orderkey, l_linenumber, n, sum_qty FROM (SELECT l_orderkey, l_linenumber, count(*) AS n, sum(l_quantity) AS sum_qty FROM lineitem GROUP BY ALL)")
