@@ -557,3 +557,28 @@ def test_op10_frequent_passage(spark):
     rows += [(1000 + i, rows[i * 3][1] + f" v{i}") for i in range(30)]
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got == {i: i if i < 1000 else (i - 1000) * 3 for i, _ in rows}
+
+
+@pytest.mark.parametrize("rows", [[], ODD, [*ODD, *[(20 + i, f"The {i} and some plain words of a text that is long enough to be kept by all, number {i}. " * 3, "en", None if i % 2 else "s", 200) for i in range(12)], (21, None, None, None, None), (None, None, None, None, None)]])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    """Nulls, repeated rows and ids, very long texts, empty tables, and columns that clash with those of the stages."""
+    import corpus_pipeline as p
+
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("mine") for c in ("kept", "score", "row_key", "size", "part", "id", "key", "text_in_work", "piece", "start")})
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 1), (5, 0), (20, 1), (None, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    held = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in p.STAGES:
+        out = materialise(stage(spark, held, str(tmp_path)), name)
+        if name != "pack":
+            assert out.columns == df.columns
+        if name in ("personal_data", "quality"):
+            assert out.count() <= held.count() if name == "quality" else out.count() == held.count()
+        if name == "near_duplicates":
+            texts = [r.text for r in held.select("text").collect()]
+            assert sorted(set(t for t in texts if t and WORD.search(t))) == sorted(t for t in (r.text for r in out.select("text").collect()) if t and WORD.search(t))
+        if name == "pack":
+            t = tokens.WordTokenizer()
+            want = sum(len(t.full.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in held.collect())
+            assert (out.agg(F.sum("length")).first()[0] or 0) == want
+        held = out
