@@ -10,6 +10,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes that are worked on at a time where that needs many times their memory.
+STEP = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -53,15 +55,35 @@ class Words:
         if not len(self.begin):
             return np.zeros(0, dtype=np.uint64)
         size = self.end - self.begin
-        own = self.data[~self.space]
-        own = _LOWER[own] if lower else own
-        first = np.cumsum(size) - size
-        place = np.arange(len(own), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
-        factor = mix64((np.arange(int(size.max()), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        total = np.add.reduceat((own.astype(np.uint64) + np.uint64(1)) * factor[place], first)
+        upto = np.cumsum(size)
+        factor = _factors(0, int(min(size.max(), STEP)))
+        total = np.empty(len(size), dtype=np.uint64)
+        i = 0
+        while i < len(size):  # about STEP bytes at a time; a longer word in pieces
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] - size[i] + STEP, side="right")))
+            own = self.data[self.begin[i] : self.end[j - 1]]
+            if j == i + 1 and size[i] > STEP:
+                held = np.zeros(1, dtype=np.uint64)
+                for at in range(0, len(own), STEP):
+                    part = own[at : at + STEP]
+                    part = (_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)
+                    held += (part * _factors(at, at + len(part))).sum(dtype=np.uint64)
+                total[i] = held[0]
+            else:
+                own = own[~self.space[self.begin[i] : self.end[j - 1]]]
+                own = _LOWER[own] if lower else own
+                first = np.cumsum(size[i:j]) - size[i:j]
+                place = np.arange(len(own), dtype=np.int32) - np.repeat(first.astype(np.int32), size[i:j])
+                total[i:j] = np.add.reduceat((own.astype(np.uint64) + np.uint64(1)) * factor[place], first)
+            i = j
         return mix64(total ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def _factors(a: int, b: int) -> np.ndarray:
+    """Random odd factors of the places a to b of a word."""
+    return mix64((np.arange(a, b, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def words_of(raw: list[bytes | None]) -> Words:
     texts = [t or b"" for t in raw]
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)

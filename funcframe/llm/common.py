@@ -93,8 +93,11 @@ def lengths_to_ids(lengths: np.ndarray) -> np.ndarray:
 def run_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs; 0 for an empty run."""
     ends = np.cumsum(lengths)
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[ends] - total[ends - lengths]
+    small = values.dtype == bool and len(values) < 1 << 31
+    total = np.zeros(len(values) + 1, dtype=np.int32 if small else np.result_type(values.dtype, np.int64))
+    np.cumsum(values, out=total[1:], dtype=total.dtype)
+    got = total[ends] - total[ends - lengths]
+    return got.astype(np.int64) if small else got
 
 
 def share_below(share: float, *by: Column) -> Column:

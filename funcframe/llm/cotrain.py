@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funcframe.llm.bytesof import member, mix64, words_of
+from funcframe.llm.bytesof import STEP, member, mix64, words_of
 from funcframe.llm.common import adam, map_texts, materialise, run_sums, share_below, sigmoid, table
 
 #: About this many labelled documents are used to fit; all documents without a label are searched for sure ones in each round.
@@ -55,10 +55,15 @@ def text_view(raw: list[bytes | None]) -> np.ndarray:
     x[:, 11] = np.log1p(w.counts) / 8
     x[:, 12] = np.minimum(run_sums(w.data == 10, size) / n, 1)
     x[:, 13] = np.minimum(size / n, 30) / 10
-    pair = (w.data[:-1].astype(np.uint32) * 31 + w.data[1:]) * np.uint32(2654435761) >> np.uint32(25)
-    pair = np.append(pair, np.uint32(0)).astype(np.int64) % N_HASH
-    pair[w.ends - 1] = 0  # the line feed behind a text
-    hist = np.bincount(np.repeat(np.arange(len(raw)), size) * N_HASH + pair, minlength=len(raw) * N_HASH)
+    hist = np.zeros(len(raw) * N_HASH, dtype=np.int64)
+    for at in range(0, len(w.data), STEP):
+        d = w.data[at : at + STEP + 1].astype(np.uint32)
+        pair = (((d[:-1] * 31 + d[1:]) * np.uint32(2654435761)) >> np.uint32(25)).astype(np.int64)
+        pair = np.append(pair, 0) if len(d) <= STEP else pair
+        of = np.searchsorted(w.ends, np.arange(at, at + len(pair)), side="right")
+        last = w.ends - 1 - at
+        pair[last[(last >= 0) & (last < len(pair))]] = 0  # the line feed behind a text
+        hist += np.bincount(of * N_HASH + pair, minlength=len(hist))
     x[:, N_STATS:] = hist.reshape(len(raw), N_HASH) / chars[:, None] * 10
     x[w.counts == 0, 1:] = 0
     return x

@@ -1,6 +1,6 @@
 """Language identification in two steps: the family by one linear machine, then pairs of related languages by others.
 
-Defined cases. A null text, and one without a letter, is ``und`` with score 0; so is every text when nothing can be
+Defined cases. A very long text is counted in windows, with the same result. A null text, and one without a letter, is ``und`` with score 0; so is every text when nothing can be
 learned. Repeated rows get equal results, an empty table an empty one. Votes and margins that tie go to the language
 that sorts first. Only the id and text columns are read for a prediction.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funcframe.llm.bytesof import mix64
+from funcframe.llm.bytesof import STEP
 from funcframe.llm.common import adam, map_texts, share_below, sigmoid, table
 
 #: About this many documents of each language are used to fit, and of all languages at most about so many (160 MB).
@@ -51,10 +51,23 @@ def grams(raw: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def histogram(raw: list[bytes | None]) -> np.ndarray:
-    ids, lengths = grams(raw)
-    doc = np.repeat(np.arange(len(raw)), lengths)
-    flat = (doc[:, None] * N_GRAMS + ids).ravel()
-    return np.bincount(flat, minlength=len(raw) * N_GRAMS).reshape(len(raw), N_GRAMS) / lengths[:, None]
+    """Shares of each text's pairs and triples; a long text is counted window by window."""
+    out = np.zeros((len(raw), N_GRAMS))
+    short = [i for i, t in enumerate(raw) if len(t or b"") <= STEP]
+    if short:
+        ids, lengths = grams([raw[i] for i in short])
+        flat = (np.repeat(np.arange(len(short)), lengths)[:, None] * N_GRAMS + ids).ravel()
+        out[short] = np.bincount(flat, minlength=len(short) * N_GRAMS).reshape(len(short), N_GRAMS) / lengths[:, None]
+    for i, t in enumerate(raw):
+        if len(t or b"") > STEP:
+            total = np.zeros(N_GRAMS, dtype=np.int64)
+            for at in range(0, len(t), STEP):
+                # a window with its neighbours, of which only their bytes are needed
+                ids, _ = grams([t[max(0, at - 1) : at + STEP + 1]])
+                own = ids[1 if at else 0 :]
+                total += np.bincount((own[:STEP] if at + STEP < len(t) else own).ravel(), minlength=N_GRAMS)
+            out[i] = total / (len(t) + 1)
+    return out
 
 
 @dataclass
