@@ -46,6 +46,17 @@ def test_words():
     assert h.hashes()[0] == h.hashes()[2] != h.hashes()[1] and len(set(h.hashes(lower=True).tolist())) == 1
 
 
+@pytest.mark.parametrize("step", [3, 64, 1000])
+def test_long_texts_in_windows(monkeypatch, docs, step):
+    """Hashes, the text view and histograms do not depend on where windows of a text end."""
+    raw = [r.text and r.text.encode() for r in docs.limit(40).collect()] + [None, b"", b"x" * 3000 + b" y", "é ".encode() * 900]
+    made = lambda: (bytesof.words_of(raw).hashes(), bytesof.words_of(raw).hashes(lower=True), cotrain.text_view(raw), langid.histogram(raw))
+    want = made()
+    for module in (bytesof, cotrain, langid):
+        monkeypatch.setattr(module, "STEP", step)
+    assert all(np.array_equal(a, b) for a, b in zip(want, made(), strict=True))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.integers(2, 4))
 def test_viterbi_is_the_best_path(seed, k):
