@@ -48,28 +48,36 @@ def fit(features: list[np.ndarray], labels: list[np.ndarray], n_labels: int, rid
     gold_trans = np.einsum("bti,btj->ij", gold[:, :-1] * both[..., None], gold[:, 1:])
     last = np.arange(count), size - 1
     tokens = real.sum()
+    flat = x.reshape(-1, width)
 
     def gradient(w: list[np.ndarray]) -> list[np.ndarray]:
         weights, trans, start, stop = w
         stops = stop * real_stop
-        emit = x @ weights
+        emit = (flat @ weights).reshape(count, longest, n_labels)
         alpha = np.empty((count, longest, n_labels))
         beta = np.empty_like(alpha)
         alpha[:, 0] = start * real_start + emit[:, 0]
+        step = np.exp(trans)
+
+        def reach(score: np.ndarray, by: np.ndarray) -> np.ndarray:
+            """log(exp(score) @ by) for each row."""
+            top = score.max(1, keepdims=True)
+            return np.log(np.exp(score - top) @ by + 1e-300) + top
+
         for t in range(1, longest):
-            alpha[:, t] = np.where(real[:, t, None], _lse(alpha[:, t - 1, :, None] + trans, 1) + emit[:, t], alpha[:, t - 1])
+            alpha[:, t] = np.where(real[:, t, None], reach(alpha[:, t - 1], step) + emit[:, t], alpha[:, t - 1])
         beta[:, -1] = stops
         for t in range(longest - 2, -1, -1):
-            beta[:, t] = np.where(real[:, t + 1, None], _lse(trans + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2), stops)
+            beta[:, t] = np.where(real[:, t + 1, None], reach(emit[:, t + 1] + beta[:, t + 1], step.T), stops)
         log_z = _lse(alpha[:, -1] + stops, 1)
         node = np.exp(alpha + beta - log_z[:, None, None]) * real[..., None]
-        g_trans = np.zeros_like(trans)
-        for t in range(1, longest):
-            edge = alpha[:, t - 1, :, None] + trans + (emit[:, t] + beta[:, t])[:, None, :] - log_z[:, None, None]
-            g_trans += (np.exp(np.minimum(edge, 0)) * both[:, t - 1, None, None]).sum(0)
+        left, right = alpha[:, :-1], emit[:, 1:] + beta[:, 1:]
+        top_left, top_right = left.max(2, keepdims=True), right.max(2, keepdims=True)
+        part = np.exp(left - top_left) * np.exp(top_left + top_right - log_z[:, None, None]) * both[..., None]
+        g_trans = step * (part.reshape(-1, n_labels).T @ np.exp(right - top_right).reshape(-1, n_labels))
         d = node - gold
         return [
-            np.einsum("btf,btk->fk", x, d) / tokens + ridge * weights / width,
+            flat.T @ d.reshape(-1, n_labels) / tokens + ridge * weights / width,
             (g_trans - gold_trans) / tokens + ridge * trans / n_labels,
             (d[:, 0] * real_start).sum(0) / tokens + ridge * start / n_labels,
             (d[last] * real_stop).sum(0) / tokens + ridge * stop / n_labels,
