@@ -267,7 +267,7 @@ def test_op4(spark):
     )
     results = spark.createDataFrame([(1, "b", 7, 'say "hi"\n'), (1, "zz", 8, None), (None, "b", 8, "x")], "conv_id long, call_id string, seq long, content string")
     got = {(r.conv_id, r.call_id, r.seq): r for r in toolcalls.link(calls, results).collect()}
-    assert len(got) == 8
+    assert len(got) == 9 and (got[1, "a", 9].status, got[1, "a", 9].n_calls, got[1, "a", 9].level) == ("repeated", 1, None)
     assert (got[1, "a", 1].level, got[1, "b", 0].level, got[1, "c", 2].level, got[1, "p", 3].level) == (0, 1, 2, None)
     assert got[1, "b", 0].status == "linked" and got[1, "a", 1].n_calls == 2
     assert json.loads(got[1, "b", 0].json) == {"arguments": {"prompt": "x", "turn": 1}, "errors": [], "id": "b", "level": 1, "name": "reply", "result": 'say "hi"\n'}
@@ -278,6 +278,52 @@ def test_op4(spark):
     assert toolcalls.link(calls.limit(0), results.limit(0)).count() == 0
 
 
+def test_op4_repeats(spark):
+    calls = [(1, "a", 0, "reply", "{}", [])] * 3 + [(1, "a", 1, "reply", "[]", None)] * 2
+    calls = spark.createDataFrame(calls, "conv_id long, call_id string, seq long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, "a", 2, "x"), (1, "a", 2, "y"), (1, "a", 2, None), (1, "o", 3, "z"), (1, "o", 4, "z")], "conv_id long, call_id string, seq long, content string")
+    got = sorted((r.status, r.call_id, r.seq, r.n_calls, r.n_results, json.loads(r.json)["result"]) for r in toolcalls.link(calls, results).collect())
+    assert [g[:5] for g in got if g[0] != "repeated"] == [("invalid arguments", "a", 0, 5, 3), ("orphan result", "o", 3, 0, 2)]
+    more = {g[1:] for g in got if g[0] == "repeated"}
+    assert more == {("a", 0, 2, 0, None), ("a", 1, 2, 0, None), ("a", 2, 0, 1, "x"), ("a", 2, 0, 1, "y"), ("o", 4, 0, 1, "z")} and len(got) == 7
+
+
+def _levels_brute(calls):
+    on = {(c, i): [(c, d) for d in deps or [] if d is not None] for c, i, _, deps in calls}
+    on = {k: [d for d in v if d in on] for k, v in on.items()}
+    level, left = {}, set(on)
+    while ready := [k for k in left if all(d in level for d in on[k])]:
+        level |= {k: max((level[d] + 1 for d in on[k]), default=0) for k in ready}
+        left -= set(ready)
+    return {k: level.get(k) for k in on}
+
+
+def test_op4_levels(spark, monkeypatch):
+    """Both ways of settling calls, on conversations in order, with later dependencies and with cycles, against brute force."""
+    rng = np.random.default_rng(4)
+    calls = []
+    for conv in range(24):
+        for i in range(int(rng.integers(1, 14))):
+            reach = i if conv % 3 else 14
+            deps = [f"c{d}" for d in rng.integers(0, max(reach, 1), int(rng.integers(0, 4))) if conv % 3 == 0 or d < i]
+            calls.append((conv, f"c{i}", i if conv % 4 else None, [None, "gone", *deps] if i % 5 == 2 else deps or None))
+    frame = spark.createDataFrame(calls, "conv_id long, call_id string, seq long, depends_on array<string>")
+    want = _levels_brute(calls)
+    assert None in want.values() and max(v or 0 for v in want.values()) > 3
+    monkeypatch.setattr(toolcalls, "KEPT_APART", 2)
+    for inline in (toolcalls.INLINE, 200, 0):
+        got = [((r.conv_id, r.call_id), r.level) for r in toolcalls.levels(frame, inline).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_op4_long_chain(spark, monkeypatch):
+    n = 5000
+    monkeypatch.setattr(toolcalls, "_by_joins", None)  # one pass is enough
+    chain = spark.range(n).selectExpr("1L AS conv_id", "concat('c', id) AS call_id", "id AS seq", "array(concat('c', id - 1), concat('c', id - 2)) AS depends_on")
+    got = toolcalls.levels(chain)
+    assert got.where("level = cast(substring(call_id, 2) AS int)").count() == n == got.count()
+
+
 # 5 URL rules
 
 
