@@ -5,7 +5,7 @@ minhashes give 80 tables of five each, where 80 separate bands would take 400. A
 with a chance of at most (1 - s**3)**10 + (1 - s**2)**8: 0.1 % at 0.8, 0.01 % at 0.85. Candidates are confirmed on the
 full shingle sets, a 64-bit hash for each shingle.
 
-Documents with equal sets are one class from the start. In a bucket of a table, classes are compared with its least
+Documents with equal sets, by a digest of the whole set, are one class from the start. In a bucket of a table, classes are compared with its least
 class. Of small buckets that then hold more than one component, all pairs of different components are compared; in large
 ones, those that share one of their sets' rarest shingles (similar sets do, so this loses no pair) and whose sizes, places
 of the first common shingle and parities of 1024 bits allow the similarity. Both tests are exact bounds, and the second
@@ -19,6 +19,7 @@ all its rows' sets. Ties go to the smaller id. An empty table gives an empty res
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,10 +102,10 @@ def _folded(m: np.ndarray, groups: int, rows: int) -> np.ndarray:
 
 
 def _prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two sums that tell sets apart."""
-    one = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-    two = np.array([mix64(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-    return one.view(np.int64), two.view(np.int64)
+    """Half of the SHA-256 of each whole sorted set, as two numbers: sets that agree in them are equal."""
+    digests = b"".join(hashlib.sha256(s.astype("<u8")).digest()[:16] for s in sets)
+    one, two = np.frombuffer(digests, dtype="<i8").reshape(len(sets), 2).T
+    return one, two
 
 
 def _lists(keys: np.ndarray) -> pa.Array:
