@@ -1,8 +1,8 @@
 """Media columns: Netpbm and BMP images decoded to arrays, resized by area with integral images, kept as NPY tiles.
 
 Defined cases. A null or broken image decodes to null columns (a header that promises more than the bytes can hold and a
-sample above the maximum count as broken), and so does a valid BMP of a kind left out: 1, 4 or 16 bits, bit
-fields, run lengths or embedded files; only uncoded ones of 8, 24 and 32 bits are read. In the query a null text counts as empty and gives the one
+sample above the maximum count as broken), and so does a valid BMP of a kind left out: run lengths, embedded files and
+headers of less than 40 bytes. In the query a null text counts as empty and gives the one
 block of padding; equal texts give equal values; an empty table gives an empty result. Only the id and the text or image
 column are read. Memory grows with the longest single text.
 """
@@ -78,20 +78,39 @@ def _netpbm(data: bytes) -> np.ndarray:
     return got.astype(np.uint8) if most == 255 else np.rint(got * (255.0 / most)).astype(np.uint8)
 
 
+def _channel(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of ``mask`` as samples from 0 to 255."""
+    if not mask:
+        return np.zeros(pixels.shape, dtype=np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    if most & (most + 1):
+        raise ValueError("mask with gaps")
+    return np.rint(((pixels & np.uint32(mask)) >> np.uint32(low)) * (255.0 / most)).astype(np.uint8)
+
+
 def _bmp(data: bytes) -> np.ndarray:
     start, = struct.unpack_from("<I", data, 10)
     header, width, height, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
-    if packed != 0 or bits not in (8, 24, 32) or width <= 0 or height == 0:
+    fields = packed in (3, 6) and bits in (16, 32)
+    if header < 40 or not (fields or packed == 0) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or height == 0:
         raise ValueError("kind of BMP")
-    stride = (width * bits // 8 + 3) // 4 * 4
+    stride = (width * bits + 31) // 32 * 4
     if start + stride * abs(height) > len(data):
         raise ValueError("size")
     rows = np.frombuffer(data, dtype=np.uint8, offset=start, count=stride * abs(height)).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
-    if bits == 8:
-        used = struct.unpack_from("<I", data, 46)[0] or 256
+    if bits <= 8:
+        used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
         palette = np.frombuffer(data, dtype=np.uint8, offset=14 + header, count=4 * used).reshape(-1, 4)
+        if bits < 8:
+            each = np.unpackbits(rows, axis=1).reshape(abs(height), -1, bits)
+            rows = np.packbits(each, axis=2)[:, :, 0] >> (8 - bits)
         return palette[rows[:, :width]][:, :, 2::-1]
+    if fields or bits == 16:
+        masks = struct.unpack_from("<III", data, 54) if fields else (0x7C00, 0x3E0, 0x1F)
+        pixels = np.ascontiguousarray(rows).view(f"<u{bits // 8}")[:, :width].astype(np.uint32)
+        return np.stack([_channel(pixels, m) for m in masks], axis=2)
     return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
 
 

@@ -2,6 +2,7 @@ import hashlib
 import io
 import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -446,6 +447,34 @@ def test_op7_round_trips(spark, docs, odd):
     assert np.load(io.BytesIO(got[1].tile)).shape == (32, 32) and got[1].channels == 3 and got[2].tile is None and got[3].dhash is None
 
 
+def _bmp_of(bits, packed, width, height, extra, rows, used=0):
+    start = 54 + len(extra)
+    return b"BM" + struct.pack("<IHHI", start + len(rows), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, bits, packed, len(rows), 0, 0, used, 0) + extra + rows
+
+
+def test_op7_kinds_of_bmp():
+    colours = [(10 * i, 255 - i, 3 * i) for i in range(16)]
+    palette = b"".join(bytes((b, g, r, 0)) for r, g, b in colours)
+    index = np.array([[1, 0, 1, 1, 0], [0, 0, 1, 0, 1]])
+    want = np.array(colours, dtype=np.uint8)[index]
+    line = lambda row, bits: int("".join(f"{v:0{bits}b}" for v in row).ljust(32, "0"), 2).to_bytes(4, "big")
+    for bits, n in ((1, 2), (4, 16)):
+        image = _bmp_of(bits, 0, 5, 2, palette[: 4 * n], b"".join(line(r, bits) for r in index[::-1]))
+        assert (media.decode(image) == want).all() and media.decode(image).shape == (2, 5, 3)
+    rng = np.random.default_rng(7)
+    for bits, packed, masks in ((16, 0, (0x7C00, 0x3E0, 0x1F)), (16, 3, (0xF800, 0x7E0, 0x1F)), (32, 3, (0xFF, 0xFF00, 0xFF0000)), (32, 3, (0x3FF00000, 0xFFC00, 0))):
+        v = rng.integers(0, 1 << bits, (3, 5), dtype=np.uint64)
+        body = b"".join(b"".join(int(x).to_bytes(bits // 8, "little") for x in row).ljust((5 * bits + 31) // 32 * 4, b"\0") for row in v)  # top row first
+        extra = struct.pack("<III", *masks) if packed else b""
+        got = media.decode(_bmp_of(bits, packed, 5, -3, extra, body))
+        for k, m in enumerate(masks):
+            low = (m & -m).bit_length() - 1 if m else 0
+            assert all(got[y, x, k] == (round(((int(v[y, x]) & m) >> low) * 255 / (m >> low)) if m else 0) for y in range(3) for x in range(5))
+    for bad in (_bmp_of(16, 3, 1, 1, struct.pack("<III", 5, 0, 0), b"\0" * 4), _bmp_of(8, 1, 1, 1, palette, b"\0" * 4), _bmp_of(4, 0, 9, 9, palette, b"\0" * 4)):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+
+
 # 8 Languages
 
 
