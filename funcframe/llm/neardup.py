@@ -44,6 +44,8 @@ SMALL = 16
 CELL = 2048
 #: Bits of the parity of a set.
 BITS = 1024
+#: A key of more rows than this, and than one in ``HOT_KEYS`` of all, is cut into cells; so at most ``HOT_KEYS`` keys are.
+HOT_ROWS, HOT_KEYS = 512, 100_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -274,6 +276,20 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*same, pa.repeat(pa.scalar(len(s), pa.int64()), len(s)), pa.array(s)], names=["id", "n", "f1", "held", "key"])
 
 
+def by_key(rows: DataFrame, total: int, about: DataFrame, size: str, how: str = "inner") -> DataFrame:
+    """``total`` rows (key, id, further columns) joined with ``about``, a written table of one row a key with its ``size``.
+
+    The few keys with many rows, sent to all tasks, deal their rows to cells by a hash of the id, and their row of
+    ``about`` goes to each cell. So no task gets all rows of a key, and the join does not share a shuffle with the sums.
+    """
+    edge = max(HOT_ROWS, total // HOT_KEYS)
+    cells = F.when(F.col(size) > edge, F.ceil(F.col(size) / F.lit(edge))).otherwise(F.lit(1).cast("long"))
+    hot = about.where(F.col(size) > edge).select("key", cells.alias("cells"))
+    dealt = rows.join(F.broadcast(hot), "key", "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("id", "key"), "cells"), F.lit(0).cast("long"))).drop("cells")
+    spread = about.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+    return dealt.join(spread.hint("merge"), ["key", "cell"], how).drop("cell")
+
+
 def rare_keys(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """(key, id, n, room, bits): each set's rarest shingles among the sets of ``ids``, so many that two similar sets share one.
 
@@ -282,9 +298,10 @@ def rare_keys(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """
     own = sets.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     every = materialise(own.select("doc_id", "n", "f1", "shingles").mapInArrow(_single, "id long, n long, f1 long, held long, key long"), "shingles")
-    often = every.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    often = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     place = F.dense_rank().over(Window.partitionBy("id", "f1").orderBy("often", "key"))  # repeated rows share their ranks
-    ranked = every.join(often.hint("merge"), "key").withColumn("room", F.col("held") - place + 1)
+    known = by_key(every, every.count(), often, "often", "left").withColumn("often", F.coalesce("often", F.lit(1).cast("long")))
+    ranked = known.withColumn("room", F.col("held") - place + 1)
     needed = f"(held * {PERCENT} + 99) div 100"  # shingles that a similar set shares
     rare = ranked.where(f"often > 1 AND room >= {needed}").select("key", "id", "f1", F.col("held").alias("n"), F.col("room").cast("long").alias("room")).distinct()
     bits = own.select(F.col("doc_id").alias("id"), "f1", "bits").distinct()
@@ -296,7 +313,7 @@ def _open(held: DataFrame, roots: DataFrame) -> DataFrame:
     marked = held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     each = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     buckets = each.groupBy("key").agg(F.max_by("root", "n").alias("major"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).where("roots > 1").drop("roots")
-    return materialise(marked.join(buckets, "key"), "marked")
+    return materialise(by_key(marked, held.count(), materialise(buckets, "open"), "size"), "marked")
 
 
 def _met(marked: DataFrame, leads: Column) -> DataFrame:

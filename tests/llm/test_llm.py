@@ -596,6 +596,17 @@ def test_contraction_equals_union_find(spark):
     assert one == many
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_frequent_keys_in_cells(spark, monkeypatch, how):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(k * k)], "key long, id long")
+    about = neardup.materialise(rows.groupBy("key").count().where("key != 2"), "about")
+    got = neardup.by_key(rows, rows.count(), about, "count", how)
+    want = rows.join(about, "key", how)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert neardup.by_key(rows.limit(0), 0, about, "count", how).count() == 0
+
+
 def test_keep_one_of_rows_that_repeat(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(7, text), (7, text), (None, text), (None, "a b c d e f"), (None, "a b c d e f"), (3, text + " w40"), (9, "x y z u v"), (9, "other words of the same id"), (None, None)]
